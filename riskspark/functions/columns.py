@@ -76,7 +76,9 @@ def any_flag(cols: Iterable[Column]) -> Column:
 
 
 def half_even(col: Column, places: int = 2) -> Column:
-    return F.bround(col, places)
+    """Scale, round to the nearest even integer, scale back (binary ties included)."""
+    power = F.lit(10.0 ** places)
+    return F.rint(col * power) / power
 
 
 def safe_name(col: Column) -> Column:

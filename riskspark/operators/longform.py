@@ -10,10 +10,11 @@ from riskspark.functions.columns import ident, number
 
 
 def to_long(df: DataFrame, cols: Sequence[str], *, keep: Sequence[Column] = (),
-            extra: dict[str, dict[str, Column]] | None = None, numeric: bool = True) -> DataFrame:
+            extra: dict[str, dict[str, Column]] | None = None, numeric: bool = True,
+            keep_null: bool = False) -> DataFrame:
     """One row per (row, feature): ``feature``, ``value`` and, per feature, ``extra`` columns.
 
-    Only the named columns are read; null values are left out.
+    Only the named columns are read; null values are left out unless ``keep_null``.
     """
     extra = extra or {}
     items = []
@@ -25,8 +26,8 @@ def to_long(df: DataFrame, cols: Sequence[str], *, keep: Sequence[Column] = (),
     names = ["feature", "value", *extra]
     out = df.select(*keep, F.explode(F.array(*items)).alias("_item"))
     kept = [c for c in out.columns if c != "_item"]
-    return (out.select(*[ident(c) for c in kept], *[F.col("_item")[n].alias(n) for n in names])
-            .filter(F.col("value").isNotNull()))
+    long = out.select(*[ident(c) for c in kept], *[F.col("_item")[n].alias(n) for n in names])
+    return long if keep_null else long.filter(F.col("value").isNotNull())
 
 
 def row_to_long(stats: DataFrame, cols: Sequence[str], fields: Sequence[str],

@@ -74,7 +74,7 @@ def squeeze_logit(t: Tables):
 
 
 @query("half_even_two_places", """
-SELECT c_custkey, round_even(c_acctbal / 8, 2) AS z FROM customer""")
+SELECT c_custkey, round_even(c_acctbal * 12.5::double, 0) / 100.0::double AS z FROM customer""")
 def half_even_two_places(t: Tables):
     return t.customer.select("c_custkey", C.half_even(F.col("c_acctbal") / 8, 2).alias("z"))
 
