@@ -17,8 +17,7 @@ def ident(name: str) -> Column:
 
 def number(col: Column) -> Column:
     """Coercing parse to double: unparsable text and NaN become null."""
-    parsed = col.try_cast("double")
-    return F.when(~F.isnan(parsed), parsed)
+    return F.nanvl(col.try_cast("double"), F.lit(None).cast("double"))
 
 
 def code_of(col: Column, labels: Sequence[str]) -> Column:
