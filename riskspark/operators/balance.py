@@ -72,26 +72,32 @@ def smote(df: DataFrame, key: str, label: str, features: Sequence[str], *, k: in
     feats = [number(ident(f)).alias(f) for f in features]
     real = df.select(ident(key), ident(label), *feats, F.lit(None).cast(key_type).alias("base_id"),
                      F.lit(None).cast(key_type).alias("neighbor_id"), F.lit(None).cast("double").alias("step"))
-    out = real
-    for c, missing in need.items():
-        rows = df.filter(ident(label).eqNullSafe(F.lit(c))).select(ident(key), ident(label), *feats)
-        kk = min(k, sizes[c] - 1)
-        if kk < 1:
-            raise ValueError(f"class {c!r} has a single row: no neighbours to synthesize from")
-        draws = (_copies(rows, [key], label, {c: missing}, f"smote{seed}").filter(F.col("_copies") > 0)
-                 .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-                 .withColumn("rank", (F.floor(hash_unit(ident(key), F.col("_copy"), salt=f"n{seed}") * kk) + 1).cast("int"))
-                 .withColumn("step", hash_unit(ident(key), F.col("_copy"), salt=f"u{seed}")))
-        near = nearest(rows, rows, features, kk, query_key=key, base_key=key, exclude_self=True,
-                       block_rows=block_rows).select(F.col("query_id").alias("_q"), F.col("base_id").alias("neighbor_id"), "rank")
-        picked = draws.join(near, (draws[key] == near["_q"]) & (draws["rank"] == near["rank"]))
-        other = rows.select(ident(key).alias("_o"), *[ident(f).alias(f"_n_{f}") for f in features])
-        made = (picked.join(other, picked["neighbor_id"] == other["_o"])
-                .select(F.lit(None).cast(key_type).alias(key), ident(label),
-                        *[(ident(f) + F.col("step") * (ident(f"_n_{f}") - ident(f))).alias(f) for f in features],
-                        draws[key].alias("base_id"), "neighbor_id", "step"))
-        out = out.unionByName(made)
-    return out
+    if not need:
+        return real
+    if min(sizes[c] for c in need) < 2:
+        raise ValueError("a class with a single row has no neighbours to synthesize from")
+    kk = _by_class(label, {c: min(k, sizes[c] - 1) for c in need})
+    # one extra coordinate sets classes further apart than any two points are,
+    # so one neighbour search serves all classes
+    spread = df.agg(*[F.max(number(ident(f))) - F.min(number(ident(f))) for f in features]).first()
+    apart = 1.0 + 2.0 * sum((v or 0.0) ** 2 for v in spread) ** 0.5
+    offset = {c: i * apart for i, c in enumerate(sorted(need))}
+    rows = (df.filter(ident(label).isin(list(need))).select(ident(key), ident(label), *feats)
+            .withColumn("_class", _by_class(label, offset).cast("double")))
+    draws = (_copies(rows, [key], label, need, f"smote{seed}").filter(F.col("_copies") > 0)
+             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+             .withColumn("rank", (F.floor(hash_unit(ident(key), F.col("_copy"), salt=f"n{seed}") * kk) + 1).cast("int"))
+             .withColumn("step", hash_unit(ident(key), F.col("_copy"), salt=f"u{seed}")))
+    near = nearest(rows, rows, [*features, "_class"], min(k, max(sizes[c] for c in need) - 1), query_key=key,
+                   base_key=key, exclude_self=True, block_rows=block_rows)
+    near = near.select(F.col("query_id").alias("_q"), F.col("base_id").alias("neighbor_id"), F.col("rank").alias("_r"))
+    picked = draws.join(near, (draws[key] == near["_q"]) & (draws["rank"] == near["_r"]))
+    other = rows.select(ident(key).alias("_o"), *[ident(f).alias(f"_n_{f}") for f in features])
+    made = (picked.join(other, picked["neighbor_id"] == other["_o"])
+            .select(F.lit(None).cast(key_type).alias(key), ident(label),
+                    *[(ident(f) + F.col("step") * (ident(f"_n_{f}") - ident(f))).alias(f) for f in features],
+                    draws[key].alias("base_id"), "neighbor_id", "step"))
+    return real.unionByName(made)
 
 
 def balance(df: DataFrame, strategy: str, *, key: str, label: str, features: Sequence[str],

@@ -76,7 +76,7 @@ def describe_exact(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                  F.max(x).alias(f"max__{i}")]
     basic = row_to_long(df.agg(*aggs), cols, ["n", "mean", "std", "min", "max"])
     quart = exact_quantiles(df, cols, [0.25, 0.5, 0.75]).select(
-        "feature", F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75"))
+        "feature", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
     return (basic.join(quart, "feature", "left")
             .select("feature", "n", "mean", "std", "min", "q25", "q50", "q75", "max"))
 
@@ -144,7 +144,7 @@ def box_stats(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     """Quartiles, 1.5-IQR whiskers and outlier counts per group and feature."""
     base = df.filter(ident(group).isNotNull())
     quart = exact_quantiles(base, cols, [0.25, 0.5, 0.75], by=[group]).select(
-        ident(group).alias("_g"), F.col("feature").alias("_f"), "q0", "q1", "q2")
+        ident(group).alias("_g"), F.col("feature").alias("_f"), *[F.col("q")[i].alias(f"q{i}") for i in range(3)])
     quart, _ = small_frame(quart)
     long = to_long(base, cols, keep=[ident(group).alias("_key")])
     lo = F.col("q0") - 1.5 * (F.col("q2") - F.col("q0"))

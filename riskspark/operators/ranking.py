@@ -88,7 +88,7 @@ def ranked_counts(df: DataFrame, cols: Sequence[str], *, by: Sequence[Column] =
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], *,
                     by: Sequence[str] = (), rows_per_bucket: int | None = None) -> DataFrame:
-    """Linear-interpolated quantiles, exact: [by], feature, total, q0..q{len-1}."""
+    """Linear-interpolated quantiles, exact: [by], feature, total, q (array, one per probability)."""
     by = list(by)
     long = bucketed_long(df, cols, keep=[ident(c) for c in by], rows_per_bucket=rows_per_bucket)
     keys = [*by, "feature"]
@@ -97,10 +97,13 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                   .withColumn("offset", F.sum("in_bucket").over(group.orderBy("bucket")) - F.col("in_bucket"))
                   .withColumn("total", F.sum("in_bucket").over(group)))
 
-    def place(p: float) -> Column:
-        return (F.col("total") - 1).cast("double") * F.lit(float(p))
+    grid = F.lit([float(p) for p in probs])
 
-    wanted = F.array(*[f(place(p)) for p in probs for f in (F.floor, F.ceil)])
+    def place(p: Column) -> Column:
+        return (F.col("total") - 1).cast("double") * p
+
+    wanted = F.array_distinct(F.flatten(F.transform(
+        grid, lambda p: F.array(F.floor(place(p)), F.ceil(place(p))))))
     needed = (per_bucket
               .filter(F.exists(wanted, lambda x: (x >= F.col("offset"))
                                & (x < F.col("offset") + F.col("in_bucket"))))
@@ -115,24 +118,26 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     inside = Window.partitionBy(*[ident(k) for k in keys], "bucket").orderBy("value")
     ordered = narrow.withColumn("upto", F.col("offset") + F.sum("n").over(inside))
 
-    def at(position: Column) -> Column:
-        return F.min(F.when(F.col("upto") > position, F.col("value")))
+    # (position, value) pairs: at most two per probability and group
+    at = F.map_from_entries(F.collect_list(F.struct("_pos", "value")))
+    picked = (ordered
+              .select(*[ident(k) for k in keys], "total", "value", F.explode(F.filter(
+                  wanted, lambda x: (x >= F.col("upto") - F.col("n")) & (x < F.col("upto"))))
+                  .alias("_pos"))
+              .groupBy(*[ident(k) for k in keys]).agg(F.first("total").alias("total"), at.alias("_at")))
+
+    def value(p: Column) -> Column:
+        low, high = F.col("_at")[F.floor(place(p))], F.col("_at")[F.ceil(place(p))]
+        return low + (high - low) * (place(p) - F.floor(place(p)))
 
-    aggs = []
-    for i, p in enumerate(probs):
-        aggs += [at(F.floor(place(p))).alias(f"_lo{i}"), at(F.ceil(place(p))).alias(f"_hi{i}")]
-    picked = ordered.groupBy(*[ident(k) for k in keys]).agg(F.first("total").alias("total"), *aggs)
-    return picked.select(
-        *[ident(k) for k in keys], "total",
-        *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}"))
-           * (place(p) - F.floor(place(p)))).alias(f"q{i}") for i, p in enumerate(probs)])
+    return picked.select(*[ident(k) for k in keys], "total", F.transform(grid, value).alias("q"))
 
 
 def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                     rows_per_bucket: int | None = None) -> dict[str, list[float]]:
     """The same, as driver values: columns x probs numbers."""
     rows = exact_quantiles(df, cols, probs, rows_per_bucket=rows_per_bucket).collect()
-    return {r["feature"]: [r[f"q{i}"] for i in range(len(probs))] for r in rows}
+    return {r["feature"]: list(r["q"]) for r in rows}
 
 
 def hash_order(key: Sequence[str], salt: str = "") -> Column:
