@@ -22,9 +22,14 @@ STABILITY_BANDS = ((0.8, "EXCELLENT"), (0.6, "GOOD"), (0.4, "MODERATE"))
 
 
 def assemble(df: DataFrame, features: Sequence[str], name: str = "features") -> DataFrame:
-    cols = [f"_f{i}" for i in range(len(features))]
-    wide = df.withColumns({c: number(ident(f)) for c, f in zip(cols, features)})
-    return VectorAssembler(inputCols=cols, outputCol=name, handleInvalid="skip").transform(wide).drop(*cols)
+    # numeric columns go in as they are: wrapping each in an alias would multiply the
+    # optimizer's constraints when frames are assembled more than once
+    kinds = dict(df.dtypes)
+    text = [f for f in features if kinds[f] == "string"]
+    wide = df.withColumns({f"_n_{f}": number(ident(f)) for f in text}) if text else df
+    cols = [f"_n_{f}" if f in text else f for f in features]
+    out = VectorAssembler(inputCols=cols, outputCol=name, handleInvalid="skip").transform(wide)
+    return out.drop(*[f"_n_{f}" for f in text])
 
 
 # -- quality ------------------------------------------------------------------
@@ -222,20 +227,19 @@ def bootstrap_agreement(df: DataFrame, key: str, label: str, cluster, *, resampl
     A resample is a weight per row (Poisson bootstrap, Chamandy et al. 2012) from the
     row's hash, so nothing is drawn or joined. ``cluster(frame, weight_column)`` gives
     back the frame with a ``cluster`` column; refits run side by side on the driver's
-    thread pool and all indices come from one aggregate.
+    thread pool and give back one contingency table each.
     """
     def one(i: int):
         u = hash_unit(ident(key), salt=f"boot{seed}-{i}")
         drawn = df.withColumn("_w", poisson_weight(u).cast("double")).filter(F.col("_w") > 0)
-        return cluster(drawn, "_w").select(
-            F.lit(i).alias("resample"), F.lit("clusters").alias("feature"), ident(label).cast("string").alias("x"),
-            F.col("cluster").cast("string").alias("y"), "_w").groupBy("resample", "feature", "x", "y").agg(
-            F.sum("_w").alias("n"))
+        table = (cluster(drawn, "_w").groupBy(ident(label).cast("string").alias("x"),
+                                              F.col("cluster").cast("string").alias("y")).agg(F.sum("_w").alias("n")))
+        # clusters x clusters numbers per resample
+        return [(i, "clusters", r["x"], r["y"], r["n"]) for r in table.collect()]
+
     with ThreadPoolExecutor(parallelism) as pool:
-        frames = list(pool.map(one, range(resamples)))
-    cells = frames[0]
-    for f in frames[1:]:
-        cells = cells.unionByName(f)
+        rows = [r for part in pool.map(one, range(resamples)) for r in part]
+    cells = df.sparkSession.createDataFrame(rows, "resample int, feature string, x string, y string, n double")
     return agreement(cells, ["resample"]).select("resample", "ari")
 
 

@@ -149,7 +149,7 @@ def ward_clusters(t: Tables):
 
 @query("bootstrap_stability")
 def bootstrap_stability(t: Tables):
-    rows = C.ward_labels(_views(t), MORPH, 4, micro=20, name="base").select("vec_id", "base", *MORPH)
+    rows = C.ward_labels(_views(t), MORPH, 4, micro=20, name="base").select("vec_id", "base", *MORPH).persist()
     scores = C.bootstrap_agreement(rows, "vec_id", "base", lambda f, w: C.ward_labels(f, MORPH, 4, micro=20, weight=w),
                                    resamples=4)
     return C.stability_summary(scores)
