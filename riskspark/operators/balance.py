@@ -112,5 +112,7 @@ def balance(df: DataFrame, strategy: str, *, key: str, label: str, features: Seq
     elif strategy == "undersample":
         df = undersample(df, [key], label, seed)
     elif strategy == "smote":
-        df = smote(df, key, label, features, seed=seed).select(ident(key), ident(label), *[ident(f) for f in features])
+        made = smote(df, key, label, features, seed=seed)
+        name = F.concat_ws("-", F.lit("synthetic"), "base_id", "neighbor_id", "step")
+        df = made.select(F.coalesce(ident(key).cast("string"), name).alias(key), ident(label), *[ident(f) for f in features])
     return df.withColumn(weight, F.lit(1.0))

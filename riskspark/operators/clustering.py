@@ -237,8 +237,12 @@ def bootstrap_agreement(df: DataFrame, key: str, label: str, cluster, *, resampl
         # clusters x clusters numbers per resample
         return [(i, "clusters", r["x"], r["y"], r["n"]) for r in table.collect()]
 
-    with ThreadPoolExecutor(parallelism) as pool:
-        rows = [r for part in pool.map(one, range(resamples)) for r in part]
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            rows = [r for part in pool.map(one, range(resamples)) for r in part]
+    finally:
+        df.unpersist()
     cells = df.sparkSession.createDataFrame(rows, "resample int, feature string, x string, y string, n double")
     return agreement(cells, ["resample"]).select("resample", "ari")
 

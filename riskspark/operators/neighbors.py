@@ -22,7 +22,10 @@ BLOCK_ROWS = 4096
 PIVOTS = 32
 
 
-def _vector(features: Sequence[str]) -> Column:
+def _vector(features: Sequence[str] | str) -> Column:
+    """Array of the named columns, or the one array column named."""
+    if isinstance(features, str):
+        return ident(features).cast("array<double>")
     return F.array(*[F.coalesce(number(ident(f)), F.lit(0.0)) for f in features])
 
 

@@ -277,3 +277,101 @@ FROM f, (VALUES ('x to y', 'forest'), ('y to x', 'logistic')) v(d, m)""")
 def direction_summary(t: Tables):
     a, b = t.labels.agg(F.avg((F.col("toxic") == F.col("quality")).cast("int")), F.avg("quality")).first()
     return rounded(V.direction_summary(t.spark, a, b, ["x to y", "y to x"], ["forest", "logistic"]))
+
+
+# -- fitted models (checked by rows and by unit tests) --------------------------
+def _doc_bundle(t: Tables, kind: str = "binary"):
+    from riskspark.spec import Bundle, FeatureSpec
+    docs = t.documents.select("doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"),
+                              F.size(F.split("text", " ")).cast("double").alias("n_words"))
+    rows = t.labels.join(docs, "doc_id")
+    if kind == "binary":
+        spec = FeatureSpec(n_chars="continuous", n_words="continuous", toxic="binary", lang="categorical", target="binary")
+        return Bundle(rows.select("doc_id", "n_chars", "n_words", "toxic", "lang", F.col("quality").alias("target")), spec)
+    high = t.documents.agg(F.max("n_chars")).first()[0]
+    spec = FeatureSpec(n_words="continuous", toxic="binary", quality="binary", lang="categorical", target="continuous")
+    return Bundle(rows.select("doc_id", "n_words", "toxic", "quality", "lang", (F.col("n_chars") / high).alias("target")), spec)
+
+
+_SMALL_GRIDS = {"Logistic Regression (Ridge)": {"C": [0.1, 1.0]}, "Logistic Regression (Lasso)": {"C": [1.0]},
+                "Random Forest Classifier": {"n_estimators": [20], "max_depth": [5]}, "SVM (Linear)": {"C": [1.0]},
+                "SVM (RBF)": {"C": [1.0], "gamma": ["scale"]}, "k-NN Classifier": {"n_neighbors": [5]},
+                "Ridge Regression": {"alpha": [1.0]}, "Lasso Regression": {"alpha": [0.001]}, "Kernel Ridge": {"alpha": [1.0]},
+                "Random Forest Regressor": {"n_estimators": [20], "max_depth": [5]},
+                "SVR (RBF)": {"C": [1.0], "gamma": ["scale"]}, "k-NN Regressor": {"n_neighbors": [5]}}
+
+
+def _options(**kw):
+    from riskspark.plans.supervised import SuiteOptions
+    return SuiteOptions(folds=2, refine=False, grids=_SMALL_GRIDS, **kw)
+
+
+@query("feature_selection")
+def feature_selection(t: Tables):
+    from riskspark.plans.selection import select_features
+    picked = select_features(_doc_bundle(t))
+    names = picked.bundle.spec.features
+    return picked.associations.withColumn("kept", F.col("predictor").isin(names))
+
+
+@query("classifier_suite")
+def classifier_suite(t: Tables):
+    from riskspark.plans.supervised import model_target
+    return model_target(_doc_bundle(t), "doc_id", _options())[0].leaderboard
+
+
+@query("regressor_suite")
+def regressor_suite(t: Tables):
+    from riskspark.plans.supervised import model_target
+    return model_target(_doc_bundle(t, "continuous"), "doc_id", _options())[0].leaderboard
+
+
+@query("ablation_matrix")
+def ablation_matrix(t: Tables):
+    from riskspark.plans.supervised import run_ablations
+    return run_ablations(_doc_bundle(t), "doc_id", _options(models=("Logistic Regression (Ridge)",)))
+
+
+@query("permutation_importance")
+def permutation_importance(t: Tables):
+    from riskspark.plans import supervised as P
+    b, _ = P.encode_categories(_doc_bundle(t))
+    rows, _ = P.prepare_rows(b, "doc_id")
+    split = P._Split(rows, rows, b.spec, _options())
+    _, model, order = split.fit(P.M.CLASSIFIERS["Logistic Regression (Ridge)"], {"C": 1.0})
+    return P.permutation_importance(model, rows, order, "binary", repeats=2)
+
+
+@query("multi_output_ridge")
+def multi_output_ridge(t: Tables):
+    from riskspark.operators import linear as L
+    rows = component(t.embeddings.select("vec_id", "embedding"), "embedding", range(12), "d").drop("embedding")
+    x, y = [f"d{i}" for i in range(8)], [f"d{i}" for i in range(8, 12)]
+    parts = S.stratified_split(rows, ["vec_id"], [])
+    w, b = L.multi_ridge(parts.filter("NOT is_test"), x, y, 1.0)
+    pred = L.predict_linear(parts.filter("is_test"), x, w, b, [f"p_{c}" for c in y])
+    return V.multi_output_r2(pred, [(c, f"p_{c}") for c in y])
+
+
+@query("ridge_cv")
+def ridge_cv(t: Tables):
+    from riskspark.operators import linear as L
+    rows = component(t.embeddings.select("vec_id", "embedding"), "embedding", range(12), "d").drop("embedding")
+    folds = S.stratified_folds(rows, ["vec_id"], k=5)
+    return L.ridge_cv(folds, [f"d{i}" for i in range(8)], [f"d{i}" for i in range(8, 12)])
+
+
+@query("cluster_prediction")
+def cluster_prediction(t: Tables):
+    from riskspark.plans.unsupervised import predict_clusters
+    rows = component(t.embeddings.select("vec_id", "label", "embedding"), "embedding", range(8), "d").drop("embedding")
+    return predict_clusters(rows, [f"d{i}" for i in range(8)], "vec_id", "label", folds=2,
+                            models=("LogReg (L2)", "RandomForest"), trees=20)[0]
+
+
+@query("boosted_trees")
+def boosted_trees(t: Tables):
+    from riskspark.plans.unsupervised import predict_clusters
+    rows = component(t.embeddings.select("vec_id", (F.col("label") % 3).alias("label"), "embedding"), "embedding", range(8), "d").drop("embedding")
+    return predict_clusters(rows, [f"d{i}" for i in range(8)], "vec_id", "label", folds=2,
+                            models=("Boosted + SMOTE",), rounds=5)[1]
