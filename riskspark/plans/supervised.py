@@ -118,16 +118,19 @@ def grid_points(grid: Mapping[str, list]) -> list[dict]:
 
 
 def search(entry: M.ModelEntry, grid: Mapping[str, list], splits: list[_Split], kind: str,
-           parallelism: int) -> tuple[dict, list[tuple[dict, float]]]:
-    """Best point by mean recall (binary) or mean squared error (continuous) over the folds."""
+           parallelism: int) -> tuple[dict, list[DataFrame]]:
+    """Best point by mean recall (binary) or mean squared error (continuous) over the folds.
+
+    The held-out predictions of the best point come with it, so nothing is fitted twice.
+    """
     points = grid_points(grid)
 
     def one(job):
         params, split = job
         pred, *_ = split.fit(entry, params)
         if kind == "binary":
-            return V.classification_metrics(pred, LABEL, "prediction").first()["Recall"]
-        return -(V.regression_metrics(pred, LABEL, "prediction").first()["RMSE"] ** 2)
+            return V.classification_metrics(pred, LABEL, "prediction").first()["Recall"], pred
+        return -(V.regression_metrics(pred, LABEL, "prediction").first()["RMSE"] ** 2), pred
 
     jobs = [(p, s) for p in points for s in splits]
     for s in splits:
@@ -135,14 +138,15 @@ def search(entry: M.ModelEntry, grid: Mapping[str, list], splits: list[_Split],
     with ThreadPoolExecutor(parallelism) as pool:
         scores = list(pool.map(one, jobs))
     k = len(splits)
-    means = [(p, sum(scores[i * k:(i + 1) * k]) / k) for i, p in enumerate(points)]
-    return max(means, key=lambda m: m[1])[0], means
+    by_point = [scores[i * k:(i + 1) * k] for i in range(len(points))]
+    best = max(range(len(points)), key=lambda i: sum(score for score, _ in by_point[i]))
+    return points[best], [pred for _, pred in by_point[best]]
 
 
-def out_of_fold_scores(entry: M.ModelEntry, params: Mapping, splits: list[_Split]) -> DataFrame:
+def out_of_fold_scores(held: list[DataFrame]) -> DataFrame:
     out = None
-    for s in splits:
-        part = M.with_score(s.fit(entry, params)[0]).select(KEY, LABEL, "score")
+    for pred in held:
+        part = M.with_score(pred).select(KEY, LABEL, "score")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -155,6 +159,10 @@ def run_suite(bundle: Bundle, key: str, options: SuiteOptions = SuiteOptions())
     if options.balancing not in B.STRATEGIES:
         raise ValueError(f"unknown balancing strategy {options.balancing!r}")
     spark = bundle.df.sparkSession
+    nothing = SuiteResult(spark.createDataFrame([], LEADERBOARD), None, {}, None, None, [], None, {}, {}, spec)
+    if not spec.features:
+        print("no feature is left to model on")
+        return nothing
     registry = M.CLASSIFIERS if kind == "binary" else M.REGRESSORS
     rows, _ = prepare_rows(bundle, key)
     if kind == "binary":
@@ -176,13 +184,13 @@ def run_suite(bundle: Bundle, key: str, options: SuiteOptions = SuiteOptions())
                 continue
             grid = options.grids.get(name, entry.grid)
             try:
-                params, _ = search(entry, grid, splits, kind, options.parallelism)
+                params, held = search(entry, grid, splits, kind, options.parallelism)
                 if options.refine and grid:
-                    params, _ = search(entry, M.refined_grid(params), splits, kind, options.parallelism)
+                    params, held = search(entry, M.refined_grid(params), splits, kind, options.parallelism)
                 pred, _, _ = final.fit(entry, params)
                 text = json.dumps(params)
                 if kind == "binary":
-                    cut = V.best_threshold(V.threshold_curve(out_of_fold_scores(entry, params, splits), LABEL, "score"))
+                    cut = V.best_threshold(V.threshold_curve(out_of_fold_scores(held), LABEL, "score"))
                     pred = M.with_score(pred).withColumn("called", (F.col("score") >= cut).cast("int"))
                     m = V.classification_metrics(pred, LABEL, "called").first()
                     auc = V.roc_auc(pred, LABEL, "score").first()[0]
@@ -198,7 +206,7 @@ def run_suite(bundle: Bundle, key: str, options: SuiteOptions = SuiteOptions())
                 skipped[name] = str(err).splitlines()[0] if str(err) else type(err).__name__
                 print(f"skipped {name}: {skipped[name]}")
         if not board:
-            return SuiteResult(spark.createDataFrame([], LEADERBOARD), None, {}, None, None, [], None, {}, {}, spec)
+            return nothing
         best = max(board, key=lambda r: r[4])[0] if kind == "binary" else min(board, key=lambda r: r[6])[0]
         everything = _Split(rows, rows.limit(0), spec, options)
         _, model, order = everything.fit(registry[best], chosen[best])

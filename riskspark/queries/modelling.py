@@ -283,14 +283,14 @@ def direction_summary(t: Tables):
 def _doc_bundle(t: Tables, kind: str = "binary"):
     from riskspark.spec import Bundle, FeatureSpec
     docs = t.documents.select("doc_id", "lang", F.col("n_chars").cast("double").alias("n_chars"),
-                              F.size(F.split("text", " ")).cast("double").alias("n_words"))
+                              (F.col("n_chars") / F.size(F.split("text", " "))).alias("word_length"))
     rows = t.labels.join(docs, "doc_id")
     if kind == "binary":
-        spec = FeatureSpec(n_chars="continuous", n_words="continuous", toxic="binary", lang="categorical", target="binary")
-        return Bundle(rows.select("doc_id", "n_chars", "n_words", "toxic", "lang", F.col("quality").alias("target")), spec)
+        spec = FeatureSpec(n_chars="continuous", word_length="continuous", toxic="binary", lang="categorical", target="binary")
+        return Bundle(rows.select("doc_id", "n_chars", "word_length", "toxic", "lang", F.col("quality").alias("target")), spec)
     high = t.documents.agg(F.max("n_chars")).first()[0]
-    spec = FeatureSpec(n_words="continuous", toxic="binary", quality="binary", lang="categorical", target="continuous")
-    return Bundle(rows.select("doc_id", "n_words", "toxic", "quality", "lang", (F.col("n_chars") / high).alias("target")), spec)
+    spec = FeatureSpec(word_length="continuous", toxic="binary", quality="binary", lang="categorical", target="continuous")
+    return Bundle(rows.select("doc_id", "word_length", "toxic", "quality", "lang", (F.col("n_chars") / high).alias("target")), spec)
 
 
 _SMALL_GRIDS = {"Logistic Regression (Ridge)": {"C": [0.1, 1.0]}, "Logistic Regression (Lasso)": {"C": [1.0]},
@@ -317,19 +317,61 @@ def feature_selection(t: Tables):
 @query("classifier_suite")
 def classifier_suite(t: Tables):
     from riskspark.plans.supervised import model_target
-    return model_target(_doc_bundle(t), "doc_id", _options())[0].leaderboard
+    return model_target(_doc_bundle(t), "doc_id", _options(selection=False, models=(
+        "Logistic Regression (Ridge)", "Logistic Regression (Lasso)", "Random Forest Classifier")))[0].leaderboard
+
+
+@query("margin_and_neighbour_suite")
+def margin_and_neighbour_suite(t: Tables):
+    from riskspark.plans.supervised import model_target
+    return model_target(_doc_bundle(t), "doc_id", _options(selection=False, models=(
+        "SVM (Linear)", "k-NN Classifier")))[0].leaderboard
 
 
 @query("regressor_suite")
 def regressor_suite(t: Tables):
     from riskspark.plans.supervised import model_target
-    return model_target(_doc_bundle(t, "continuous"), "doc_id", _options())[0].leaderboard
+    return model_target(_doc_bundle(t, "continuous"), "doc_id", _options(selection=False, models=(
+        "Linear Regression", "Ridge Regression", "Lasso Regression", "Random Forest Regressor")))[0].leaderboard
+
+
+def _fitted(t: Tables, kind: str, name: str, params: dict):
+    """One fit on all rows and its score per document."""
+    from riskspark.plans import supervised as P
+    b, _ = P.encode_categories(_doc_bundle(t, kind))
+    rows, _ = P.prepare_rows(b, "doc_id")
+    registry = P.M.CLASSIFIERS if kind == "binary" else P.M.REGRESSORS
+    pred, _, _ = P._Split(rows, rows, b.spec, _options()).fit(registry[name], params)
+    if kind == "binary":
+        return P.M.with_score(pred).select(F.col("_key").alias("doc_id"), "score")
+    return pred.select(F.col("_key").alias("doc_id"), "prediction")
+
+
+@query("svm_rbf_scores")
+def svm_rbf_scores(t: Tables):
+    return _fitted(t, "binary", "SVM (RBF)", {"C": 1.0, "gamma": "scale", "size": 50})
+
+
+@query("svr_rbf_scores")
+def svr_rbf_scores(t: Tables):
+    return _fitted(t, "continuous", "SVR (RBF)", {"C": 1.0, "gamma": "scale", "size": 50})
+
+
+@query("kernel_ridge_scores")
+def kernel_ridge_scores(t: Tables):
+    return _fitted(t, "continuous", "Kernel Ridge", {"alpha": 1.0, "size": 50})
+
+
+@query("knn_regressor_scores")
+def knn_regressor_scores(t: Tables):
+    return _fitted(t, "continuous", "k-NN Regressor", {"n_neighbors": 5})
 
 
 @query("ablation_matrix")
 def ablation_matrix(t: Tables):
     from riskspark.plans.supervised import run_ablations
-    return run_ablations(_doc_bundle(t), "doc_id", _options(models=("Logistic Regression (Ridge)",)))
+    settings = {"no selection": dict(selection=False), "no selection, no one-hot": dict(selection=False, one_hot=False)}
+    return run_ablations(_doc_bundle(t), "doc_id", _options(models=("Logistic Regression (Ridge)",)), settings)
 
 
 @query("permutation_importance")

@@ -18,13 +18,14 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder())
     qs, sql = all_queries(), all_sql()
+    args = [a for a in args if a != "-v"]
     names = [n for n in qs if not args or any(n == a or (a.endswith("*") and n.startswith(a[:-1])) for a in args)]
     bad = 0
     for n in names:
         t0 = time.time()
         try:
             df = qs[n](spark, folder())
-            res = compare(df, con, sql[n]) if n in sql else f"rows-only {df.count()}"
+            res = compare(df, con, sql[n]) if n in sql else "rows-only " + str(df.limit(6).collect() if "-v" in sys.argv else df.count())
         except Exception as e:  # noqa: BLE001
             res = f"ERROR {type(e).__name__}: {str(e)[:600]}"
         ok = res is None or res.startswith("rows-only")
