@@ -117,6 +117,12 @@ def grid_points(grid: Mapping[str, list]) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())] if grid else [{}]
 
 
+def slim(pred: DataFrame, kind: str) -> DataFrame:
+    """The columns metrics read, kept once: they are scored several times."""
+    pred = M.with_score(pred) if kind == "binary" else pred.withColumn("score", F.col("prediction"))
+    return pred.select(KEY, LABEL, "prediction", "score").persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def search(entry: M.ModelEntry, grid: Mapping[str, list], splits: list[_Split], kind: str,
            parallelism: int) -> tuple[dict, list[DataFrame]]:
     """Best point by mean recall (binary) or mean squared error (continuous) over the folds.
@@ -127,7 +133,7 @@ def search(entry: M.ModelEntry, grid: Mapping[str, list], splits: list[_Split],
 
     def one(job):
         params, split = job
-        pred, *_ = split.fit(entry, params)
+        pred = slim(split.fit(entry, params)[0], kind)
         if kind == "binary":
             return V.classification_metrics(pred, LABEL, "prediction").first()["Recall"], pred
         return -(V.regression_metrics(pred, LABEL, "prediction").first()["RMSE"] ** 2), pred
@@ -140,13 +146,17 @@ def search(entry: M.ModelEntry, grid: Mapping[str, list], splits: list[_Split],
     k = len(splits)
     by_point = [scores[i * k:(i + 1) * k] for i in range(len(points))]
     best = max(range(len(points)), key=lambda i: sum(score for score, _ in by_point[i]))
+    for i, results in enumerate(by_point):
+        if i != best:
+            for _, pred in results:
+                pred.unpersist()
     return points[best], [pred for _, pred in by_point[best]]
 
 
 def out_of_fold_scores(held: list[DataFrame]) -> DataFrame:
     out = None
     for pred in held:
-        part = M.with_score(pred).select(KEY, LABEL, "score")
+        part = pred.select(KEY, LABEL, "score")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -187,11 +197,11 @@ def run_suite(bundle: Bundle, key: str, options: SuiteOptions = SuiteOptions())
                 params, held = search(entry, grid, splits, kind, options.parallelism)
                 if options.refine and grid:
                     params, held = search(entry, M.refined_grid(params), splits, kind, options.parallelism)
-                pred, _, _ = final.fit(entry, params)
+                pred = slim(final.fit(entry, params)[0], kind)
                 text = json.dumps(params)
                 if kind == "binary":
                     cut = V.best_threshold(V.threshold_curve(out_of_fold_scores(held), LABEL, "score"))
-                    pred = M.with_score(pred).withColumn("called", (F.col("score") >= cut).cast("int"))
+                    pred = pred.withColumn("called", (F.col("score") >= cut).cast("int"))
                     m = V.classification_metrics(pred, LABEL, "called").first()
                     auc = V.roc_auc(pred, LABEL, "score").first()[0]
                     board.append((name, m["Accuracy"], m["Precision"], m["Recall"], m["F1"], auc, None, None, None, text, cut))
@@ -202,6 +212,8 @@ def run_suite(bundle: Bundle, key: str, options: SuiteOptions = SuiteOptions())
                     board.append((name, None, None, None, None, None, m["RMSE"], m["MAE"], m["R2"], text, None))
                     residuals[name] = V.residual_table(pred, LABEL, "prediction", [KEY])
                 chosen[name] = params
+                for p in held:
+                    p.unpersist()
             except Exception as err:  # a failing model leaves the others in the race
                 skipped[name] = str(err).splitlines()[0] if str(err) else type(err).__name__
                 print(f"skipped {name}: {skipped[name]}")
