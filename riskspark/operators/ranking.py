@@ -19,7 +19,7 @@ from riskspark.functions.columns import ident, number
 from riskspark.operators.longform import to_long
 from riskspark.session import small_frame
 
-ROWS_PER_BUCKET = 2_000_000
+ROWS_PER_BUCKET = 200_000
 MAX_BUCKETS = 4096
 
 

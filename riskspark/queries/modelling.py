@@ -403,12 +403,19 @@ def ridge_cv(t: Tables):
     return L.ridge_cv(folds, [f"d{i}" for i in range(8)], [f"d{i}" for i in range(8, 12)])
 
 
+@query("component_regression")
+def component_regression(t: Tables):
+    from riskspark.plans.unsupervised import regress_components
+    rows = component(t.embeddings.select("vec_id", "embedding"), "embedding", range(12), "d").drop("embedding")
+    return regress_components(rows, [f"d{i}" for i in range(8)], [f"d{i}" for i in range(8, 12)], "vec_id")
+
+
 @query("cluster_prediction")
 def cluster_prediction(t: Tables):
     from riskspark.plans.unsupervised import predict_clusters
     rows = component(t.embeddings.select("vec_id", "label", "embedding"), "embedding", range(8), "d").drop("embedding")
     return predict_clusters(rows, [f"d{i}" for i in range(8)], "vec_id", "label", folds=2,
-                            models=("LogReg (L2)", "RandomForest"), trees=20)[0]
+                            models=("LogReg (L2)", "RandomForest"), trees=20, depth=8)[0]
 
 
 @query("boosted_trees")
