@@ -10,7 +10,6 @@ are verified on the sets themselves.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -99,46 +98,84 @@ def _may_link(overlap, a, b):
     return LINK[1] * overlap >= LINK[0] * (a + b - overlap)
 
 
-def rtree_pairs(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b).sum(-1, dtype=np.int64)
+
+
+def rtree_pairs(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (one of ``left``, one of ``right``) whose summed coordinate minima allow a link.
 
     Both sides are bulk-loaded into R-trees by recursive median splits (first on size, then on the
     widest coordinate); nodes hold the coordinate maxima and the size range. A pair of nodes is
     dropped if the summed minima of its maxima, or the sizes, bar every link below it.
     """
-    counts = points.astype(np.int64)
-    excess = sizes - counts.sum(1)      # tokens beyond counts held as 255: may all be shared
+    excess = sizes - points.sum(1, dtype=np.int64)      # tokens beyond counts held as 255: may all be shared
 
     def build(rows, depth=0):
-        node = (counts[rows].max(0), sizes[rows].min(), sizes[rows].max(), excess[rows].max(), rows, None)
+        top = points[rows].max(0)
+        node = (top, sizes[rows].min(), sizes[rows].max(), excess[rows].max(), rows)
         if len(rows) <= LEAF:
-            return node
-        spread = counts[rows].max(0) - counts[rows].min(0)
-        by = sizes[rows] if depth < 2 else counts[rows, int(spread.argmax())]
+            return (*node, None)
+        by = sizes[rows] if depth < 2 else points[rows, int((top - points[rows].min(0)).argmax())]
         order = rows[np.argsort(by, kind="stable")]
         half = len(order) // 2
-        return (*node[:5], (build(order[:half], depth + 1), build(order[half:], depth + 1)))
+        return (*node, (build(order[:half], depth + 1), build(order[half:], depth + 1)))
 
-    found, stack = [], [(build(left), build(right))]
+    found, stack = [(left[:0], right[:0])], [(build(left), build(right))] if len(left) and len(right) else []
     while stack:
         x, y = stack.pop()
         # the overlap is at most the smaller size, so linked sizes are within LINK of each other
         if LINK[0] * x[1] > LINK[1] * y[2] or LINK[0] * y[1] > LINK[1] * x[2]:
             continue
-        bound = min(np.minimum(x[0], y[0]).sum() + min(x[3], y[3]), x[2], y[2])
+        bound = min(int(_overlap(x[0], y[0])) + min(x[3], y[3]), x[2], y[2])
         if not _may_link(bound, x[1], y[1]):
             continue
         if x[5] is None and y[5] is None:
             a, b = x[4], y[4]
-            over = np.minimum(counts[a][:, None, :], counts[b][None, :, :]).sum(2) + np.minimum(
-                excess[a][:, None], excess[b][None, :])
+            over = _overlap(points[a][:, None, :], points[b][None, :, :]) + np.minimum(excess[a][:, None], excess[b][None, :])
             i, j = np.nonzero(_may_link(over, sizes[a][:, None], sizes[b][None, :]))
-            found.extend(zip(a[i].tolist(), b[j].tolist()))
+            found.append((a[i], b[j]))
         elif y[5] is None or x[5] is not None and len(x[4]) >= len(y[4]):
             stack += [(c, y) for c in x[5]]
         else:
             stack += [(x, c) for c in y[5]]
-    return found
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def group_pairs(group: np.ndarray, points: np.ndarray, sizes: np.ndarray, part: np.ndarray,
+                side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of one group and different parts whose count vectors allow a link.
+
+    Rows come sorted by ``group``. ``side`` is 0 in a group joined with itself, else 1 or 2 and pairs are
+    of both sides. Small groups, which are single leaves, are taken together.
+    """
+    excess = sizes - points.sum(1, dtype=np.int64)
+    begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    n = np.diff(np.append(begin, len(group)))
+    small = np.repeat(n <= LEAF, n)
+    found = []
+    for d in range(1, min(LEAF, len(group))):
+        i = np.flatnonzero(small[:-d] & (group[:-d] == group[d:]) & (part[:-d] != part[d:])
+                           & ((side[:-d] == 0) | (side[:-d] != side[d:]))
+                           & (LINK[0] * np.minimum(sizes[:-d], sizes[d:]) <= LINK[1] * np.maximum(sizes[:-d], sizes[d:])))
+        if not len(i):
+            continue
+        over = _overlap(points[i], points[i + d]) + np.minimum(excess[i], excess[i + d])
+        ok = _may_link(over, sizes[i], sizes[i + d])
+        found.append((i[ok], i[ok] + d))
+    for a, k in zip(begin[n > LEAF].tolist(), n[n > LEAF].tolist()):
+        rows = np.arange(a, a + k)
+        if side[a]:
+            left, right = rows[side[rows] == 1], rows[side[rows] == 2]
+        else:       # pairs within the largest part are not wanted
+            parts, count = np.unique(part[rows], return_counts=True)
+            left, right = rows[part[rows] != parts[count.argmax()]], rows
+        i, j = rtree_pairs(points, sizes, left, right)
+        ok = part[i] != part[j]
+        found.append((i[ok], j[ok]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _read_sets(batches, emit):
@@ -209,25 +246,32 @@ def _meetings(met: DataFrame, vectors: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
     rows = met.join(size, "key").withColumns({"blocks": blocks, "own": own})
     rows = rows.select("key", "id", "component", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.select("key", "id", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    rows = rows.join(vectors, "id")
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        points = np.frombuffer(b"".join(group["vector"]), np.uint8).reshape(len(group), GROUPS)
-        sizes, ids, part = (group[c].to_numpy() for c in ("n_shingles", "id", "component"))
-        here = group["own"].to_numpy()
-        same = group["low"].iat[0] == group["high"].iat[0]
-        rows = np.arange(len(group))
-        left = rows if same else rows[here == group["low"].iat[0]]
-        right = rows if same else rows[here == group["high"].iat[0]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
-        found = np.array(rtree_pairs(points, sizes, left, right), np.int64).reshape(-1, 2)
-        a, b = ids[found[:, 0]], ids[found[:, 1]]
-        use = (a != b) & (part[found[:, 0]] != part[found[:, 1]])
-        return pd.DataFrame({"a": np.maximum(a, b)[use], "b": np.minimum(a, b)[use]}).drop_duplicates()
-
-    return rows.groupBy("key", "low", "high").applyInPandas(join, "a long, b long").distinct()
+    rows = rows.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("place"), "id", "component",
+                       F.when(F.col("own") == F.col("other"), F.lit(0)).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+    # a block meets itself in a place of its own, and every other block in one
+    rows = rows.join(vectors, "id").repartition("place").sortWithinPartitions("place")
+
+    def join(batches):
+        held = None
+        for batch in batches:
+            table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            place = table["place"].to_numpy()
+            whole = int(np.flatnonzero(place == place[-1])[0]) if len(place) else 0
+            held = table.slice(whole)
+            yield pairs(table.slice(0, whole))
+        if held is not None:
+            yield pairs(held)
+
+    def pairs(table):
+        n = table.num_rows
+        points = np.frombuffer(b"".join(table["vector"].to_pylist()), np.uint8).reshape(n, GROUPS)
+        place, ids, part, sizes, side = (table[c].to_numpy() for c in ("place", "id", "component", "n_shingles", "side"))
+        i, j = group_pairs(place, points, sizes, part, side) if n else (np.zeros(0, np.int64),) * 2
+        a, b = np.maximum(ids[i], ids[j]), np.minimum(ids[i], ids[j])
+        ab = np.unique(np.stack((a, b), 1)[a != b], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+
+    return rows.mapInArrow(join, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskspark.llm import decontam, jaccard, linededup, packing, quality
+from riskspark.llm import decontam, jaccard, linededup, packing, quality, toxicity
 from riskspark.sources.files import read_table
 
 QUERIES: dict = {}
@@ -42,3 +42,8 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, folder, "documents"))
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
