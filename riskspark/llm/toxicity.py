@@ -1,14 +1,21 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a support vector machine.
 
-The kernel counts common letter triples, letters of a triple standing apart by any
-characters up to a span and worth less the wider they stand, so an insult with gaps or
-inserted characters still shares most of its triples. Landmarks are words that mark one
-class or are common. As the decision is linear in the kernel, landmark weights fold into
-one table over triples, and a whole text is scored at every position by look-ups in it.
+The kernel compares words by the letter triples they share, letters of a triple standing
+apart up to a span and worth less the wider they stand, normalised and raised to a power;
+an insult with gaps or inserted characters still shares most of its triples. A word is what
+stands between white space, its letters only, and runs of one or two letters join up, so
+"id-iot" and "i d i o t" are one word each. A text's score comes from how
+many of its words are toxic or close to it.
+
+Landmarks are words that mark the toxic class and some of the rest. A table of the largest
+landmark entry per triple bounds every similarity from above; only words whose bound reaches
+``LEAST`` are compared with the landmarks one by one, others count as unlike all of them.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -21,93 +28,116 @@ THRESHOLD = 0.7
 MODULUS, HELD_OUT = 3, 1
 #: Most labelled documents the machine is fitted on.
 TRAINING_ROWS = 8_000
-LANDMARKS = 256
+MARKING, OTHERS = 160, 64    # landmarks
 SPAN = 6        # widest triple, in characters
 DECAY = 0.7     # worth of each further character
-WINDOW = 10     # first letters of the triples that count together
+POWER = 3
+LEAST = 0.55
+LONGEST = 32    # a longer run of letters is cut
+REMEMBERED = 200_000
 
-_LETTERS = 27
+#: 1 is the edge of a word, 2 to 27 a letter a-z, 28 to 31 bytes of letters beyond ASCII, 0 what is skipped.
 _CODES = np.zeros(256, np.int32)
-_CODES[97:123] = np.arange(1, 27)
-_STEPS = [(a, b, np.float32(DECAY ** (b - 2))) for b in range(2, SPAN) for a in range(1, b)]
-_VALID = np.zeros((_LETTERS,) * 3, bool)
-_VALID[1:, 1:, 1:] = True
-_VALID = _VALID.ravel()
-
-
-def _padded(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes with room after each text, and where each text begins (one more at the end)."""
-    room = SPAN + WINDOW
-    n = len(offsets) - 1
-    begin = offsets + room * np.arange(n + 1)
-    out = np.zeros(begin[-1] + room, np.int32)
-    if len(raw):
-        out[np.arange(len(raw)) + np.repeat(room * np.arange(n), np.diff(offsets))] = _CODES[LOWER[raw]]
-    return out, begin
-
-
-def _triples(codes: np.ndarray, a: int, b: int) -> np.ndarray:
-    n = len(codes) - SPAN + 1
-    return codes[:n] * (_LETTERS * _LETTERS) + codes[a: a + n] * _LETTERS + codes[b: b + n]
-
-
-def window_sums(codes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """For every position: the table's entries, with decay, of all triples that begin in its window."""
-    at = np.zeros(max(len(codes) - SPAN + 1, 0), np.float32)
+_CODES[[0x20, *range(0x09, 0x0E)]] = 1
+_CODES[97:123] = np.arange(2, 28)
+_CODES[0xC0:] = 28
+_CODES[0x80:0xC0] = 29 + np.arange(64) % 3
+_BITS = 5
+_SIZE = 1 << 3 * _BITS
+_STEPS = [(a, b, np.float32(DECAY ** (b - 2))) for a, b in combinations(range(1, SPAN), 2)]
+#: Length of a word's feature vector if no triple comes twice, by its letters.
+_NORM = np.sqrt([max(sum(float(w) ** 2 * max(0, n + 2 - b) for _, b, w in _STEPS), 1e-9) for n in range(LONGEST + 1)])
+_NORM[0] = 1e9
+
+
+def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of all words with an edge between them, where each begins (one more at the end), and its text."""
+    codes = _CODES[LOWER[raw]]
+    new = np.zeros(len(raw) + 1, bool)
+    new[offsets] = True
+    letters = np.flatnonzero(codes > 1)
+    if not len(letters):
+        return np.ones(1, np.int32), np.ones(1, np.int64), np.zeros(0, np.int64)
+    number = np.cumsum((codes == 1) | new[:-1])[letters]
+    start = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1])))
+    size = np.diff(np.append(start, len(letters)))
+    doc = np.searchsorted(offsets, letters[start], "right") - 1
+    joined = np.concatenate(([False], (size[1:] <= 2) & (size[:-1] <= 2) & (doc[1:] == doc[:-1])))
+    start, doc = start[~joined], doc[~joined]
+    size = np.diff(np.append(start, len(letters)))
+    if size.max() > LONGEST:
+        cuts = -(-size // LONGEST)
+        within = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        start, doc = np.repeat(start, cuts) + LONGEST * within, np.repeat(doc, cuts)
+        size = np.diff(np.append(start, len(letters)))
+    at = np.arange(len(letters)) + np.repeat(np.arange(len(start)), size) + 1
+    out = np.ones(len(letters) + len(start) + 1, np.int32)
+    out[at] = codes[letters]
+    return out, np.append(at[start], len(out)), doc
+
+
+def bounds(codes: np.ndarray, begin: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For every word: the table's entries of its triples, with decay, over the word's norm."""
+    size = np.diff(begin) - 1
+    room = np.zeros(len(codes), np.int32)       # steps to the edge that ends the word
+    room[begin[0] - 1: begin[-1] - 1] = np.repeat(size + 1, size + 1) - (
+        np.arange(begin[-1] - begin[0]) - np.repeat(begin[:-1] - begin[0], size + 1))
+    long = np.concatenate((codes, np.zeros(SPAN, np.int32)))
+    total, n = np.zeros(len(codes), np.float32), len(codes)
     for a, b, worth in _STEPS:
-        at += worth * table[_triples(codes, a, b)]
-    total = np.concatenate(([0.0], np.cumsum(at, dtype=np.float64)))
-    return total[WINDOW:] - total[:-WINDOW] if len(at) >= WINDOW else np.zeros(0)
-
-
-def best_windows(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
-    """Highest window sum of each whole text (0 for none), and the characters of that window."""
-    raw, offsets = as_bytes(texts)
-    top, where = np.zeros(len(texts)), [b""] * len(texts)
-    for a, b in spans(offsets, 1 << 19):
-        data, at = raw[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a]
-        codes, begin = _padded(data, at)
-        sums = window_sums(codes, table)
-        some = np.flatnonzero(np.diff(at))
-        if not len(some):
-            continue
-        top[a + some] = np.maximum.reduceat(sums, begin[some])
-        for i in some.tolist():
-            j = int(sums[begin[i]: begin[i + 1]].argmax())
-            where[a + i] = data[at[i] + j: min(at[i] + j + WINDOW + SPAN, at[i + 1])].tobytes()
-    return top, where
-
-
-def _features(fragments: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Triples of each fragment and what they are worth in the kernel's feature space."""
-    out = []
-    for x in fragments:
-        codes, _ = _padded(np.frombuffer(x, np.uint8), np.array([0, len(x)]))
-        hit = np.zeros(_LETTERS ** 3)
+        triple = (((long[:n] << _BITS) | long[a: a + n]) << _BITS) | long[b: b + n]
+        total += np.where(room >= b, worth * table[triple], np.float32(0))
+    return np.add.reduceat(total, begin[:-1] - 1) / _NORM[size] if len(size) else np.zeros(0)
+
+
+def similarities(words: list[bytes], landmarks: np.ndarray) -> np.ndarray:
+    """Kernel of words (their codes as bytes) with landmarks, one column of triples each."""
+    out = np.zeros((len(words), landmarks.shape[1]), np.float32)
+    for at in range(0, len(words), 1024):
+        part = words[at: at + 1024]
+        size = np.array([len(w) for w in part])
+        grid = np.zeros((len(part), size.max() + 2 + SPAN), np.int32)
+        grid[:, 0] = 1
+        for row, w in zip(grid, part):
+            row[1: len(w) + 1] = np.frombuffer(w, np.uint8)
+            row[len(w) + 1] = 1
         for a, b, worth in _STEPS:
-            np.add.at(hit, _triples(codes[: WINDOW + SPAN + SPAN], a, b)[:WINDOW], worth)
-        at = np.flatnonzero(hit * _VALID)
-        out.append((at, hit[at]))
-    return out
+            for i in range(size.max() + 2 - b):
+                rows = np.flatnonzero(size + 1 >= i + b)
+                x = grid[rows]
+                out[at + rows] += worth * landmarks[(((x[:, i] << _BITS) | x[:, i + a]) << _BITS) | x[:, i + b]]
+        out[at: at + 1024] /= _NORM[size][:, None]
+    return np.clip(out, 0, 1) ** POWER
+
+
+def _encoded(word: str) -> bytes:
+    codes = _CODES[LOWER[np.frombuffer(word.encode(), np.uint8)]]
+    return codes[codes > 1][:LONGEST].astype(np.uint8).tobytes()
 
 
 class KernelMachine:
-    """Landmarks in, one table over triples out: ``sum_j alpha_j k(x, z_j) + bias``."""
-
-    def __init__(self, landmarks: list[bytes]):
-        self.landmarks = _features(landmarks)
-        size = np.zeros((len(landmarks), _LETTERS ** 3), np.float32)
-        for row, (at, v) in zip(size, self.landmarks):
-            row[at] = v / max(np.linalg.norm(v), 1e-9)
-        self.z = size
-        values, vectors = np.linalg.eigh((size @ size.T).astype(np.float64) + 1e-6 * np.eye(len(size)))
-        self.root = vectors / np.sqrt(np.maximum(values, 1e-6))      # K_mm^(-1/2), up to a rotation
-        self.table, self.bias = np.zeros(_LETTERS ** 3, np.float32), 0.0
-
-    def fit(self, fragments: list[bytes], y: np.ndarray, cost: float = 1.0) -> "KernelMachine":
+    """``sum_j alpha_j k(x, z_j) + bias`` over landmarks ``z_j``."""
+
+    def __init__(self, marking: list[bytes], others: list[bytes]):
+        words = [*marking, *others]
+        z = np.zeros((_SIZE, len(words)), np.float32)
+        for j, w in enumerate(words):
+            x = np.array([1, *w, 1])
+            for a, b, worth in _STEPS:
+                n = len(x) - b
+                if n > 0:
+                    np.add.at(z[:, j], (((x[:n] << _BITS) | x[a: a + n]) << _BITS) | x[b: b + n], worth)
+        self.z = z / np.maximum(np.linalg.norm(z, axis=0), 1e-9)
+        self.bound = self.z[:, :len(marking)].max(1) if marking else np.zeros(_SIZE, np.float32)
+        kernel = similarities(words, self.z).astype(np.float64)
+        values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
+        self.root = vectors / np.sqrt(np.maximum(values, 1e-3))      # K_mm^(-1/2), up to a rotation
+        self.alpha, self.bias = np.zeros(len(words)), 0.0
+        self.values: dict[bytes, float] = {}    # decision values of words already met, REMEMBERED at most
+
+    def fit(self, words: list[bytes], y: np.ndarray, cost: float = 10.0) -> "KernelMachine":
         """Squared-hinge support vector machine on the Nystroem features, by Newton steps."""
-        kernel = np.stack([self.z[:, at] @ v for at, v in _features(fragments)]) if fragments else np.zeros((0, len(self.z)))
-        x = np.column_stack((kernel @ self.root, np.ones(len(kernel))))
+        x = np.column_stack((similarities(words, self.z) @ self.root, np.ones(len(words))))
         sign = np.where(y > 0, 1.0, -1.0)
         weight = cost * np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y <= 0).sum()))
         w, keep = np.zeros(x.shape[1]), np.ones(x.shape[1])
@@ -120,67 +150,93 @@ class KernelMachine:
             w -= step
             if np.abs(step).max() < 1e-7:
                 break
-        self.table = ((self.root @ w[:-1]) @ self.z).astype(np.float32)
-        self.bias = float(w[-1])
+        self.alpha, self.bias, self.values = self.root @ w[:-1], float(w[-1]), {}
         return self
 
-
-def _landmarks(rows: DataFrame, most: int) -> list[tuple[str, float]]:
-    """Words by how much their documents lean to one label, and words of the rest by hash; counted on Spark."""
+    def worst(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Of each whole text: how many words are toxic, how many are close to it, and the worst word."""
+        raw, offsets = as_bytes(texts)
+        top, where = np.full(len(texts), -np.inf), [b""] * len(texts)
+        hits, close = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for a, b in spans(offsets, 1 << 19):
+            codes, begin, doc = words_of(raw[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
+            near = np.flatnonzero(bounds(codes, begin, self.bound) >= LEAST)
+            if not len(near):
+                continue
+            small = codes.astype(np.uint8)
+            words = [small[begin[i]: begin[i + 1] - 1].tobytes() for i in near.tolist()]
+            if len(self.values) > REMEMBERED:
+                self.values.clear()
+            value = self.values
+            new = [w for w in dict.fromkeys(words) if w not in value]
+            value.update(zip(new, (similarities(new, self.z) @ self.alpha + self.bias).tolist()))
+            for i, w in zip((a + doc[near]).tolist(), words):
+                v = value[w]
+                hits[i] += v > 0
+                close[i] += v > -0.6
+                if v > top[i]:
+                    top[i], where[i] = v, w
+        return hits, close, where
+
+
+def evidence(hits: np.ndarray, close: np.ndarray) -> np.ndarray:
+    """What a text is judged by, from its counts of toxic and of nearly toxic words."""
+    return np.column_stack((np.log1p(hits), np.log1p(close)))
+
+
+def _vocabulary(rows: DataFrame) -> tuple[list[str], list[str]]:
+    """(words that mark toxic documents, words of the rest by hash), by documents counted on Spark."""
     words = rows.select("label", F.explode(F.array_distinct(F.regexp_extract_all(
-        F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("[a-z]{3,16}"), F.lit(0)))).alias("word"))
-    seen = words.groupBy("word").agg(F.sum("label").cast("double").alias("p"), F.count("*").cast("double").alias("n")).where("n >= 3")
+        F.lower("text"), F.lit("\\p{L}{3,16}"), F.lit(0)))).alias("word"))
+    seen = words.groupBy("word").agg(F.sum("label").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
     total = rows.agg(F.sum("label"), F.count("*")).first()
-    pos, neg = float(total[0] or 0), float((total[1] or 0) - (total[0] or 0))
-    lean = F.log((F.col("p") + 0.5) / (pos + 1)) - F.log((F.col("n") - F.col("p") + 0.5) / (neg + 1))
-    scored = seen.withColumn("lean", lean).withColumn("worth", F.col("lean") * F.sqrt("p"))
-    top = scored.orderBy(F.desc("worth"), "word").limit(most // 4).collect()
-    rest = scored.orderBy(F.xxhash64("word"), "word").limit(most - most // 4).collect()
-    out = {r["word"]: float(r["lean"]) for r in [*top, *rest]}
-    return sorted(out.items())
-
-
-def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, landmarks: int = LANDMARKS,
-           rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """(table over triples, weights of the calibration) from at most ``most`` labelled documents.
-
-    The label of a document holds for one fragment of it at least, so each round fits the machine on
-    the fragment that its document owes its score to, and looks for that fragment anew; fragments of
-    clean documents are kept from round to round.
+    share = float(total[0] or 0) / max(1.0, float(total[1] or 0))
+    # standard deviations above what the share of toxic documents lets expect
+    lean = (F.col("p") - F.col("n") * share) / F.sqrt(F.col("n") * share + 0.25)
+    scored = seen.withColumn("lean", lean)
+    marking = scored.where("lean > 4 and p >= 0.8 * n").orderBy(F.desc("lean"), "word").limit(MARKING).collect()
+    others = scored.where("p < 0.5 * n").orderBy(F.xxhash64("word"), "word").limit(OTHERS).collect()
+    return [r["word"] for r in marking], [r["word"] for r in others]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, rounds: int = 2) -> tuple[KernelMachine, np.ndarray]:
+    """(machine, weights of the calibration) from at most ``most`` labelled documents.
+
+    Trained on the words that mark toxic documents against words of clean ones; each round adds the
+    worst word of every clean document, then the counts of toxic words are calibrated on the labels.
     """
     sample = training_labels(labels, "toxic", MODULUS, HELD_OUT, most)
     rows = staged(labelled_rows(text_rows(docs), sample).select("doc_id", "text", "label"), "toxic-sample")
-    words = _landmarks(rows, landmarks)
-    nothing = np.zeros(_LETTERS ** 3, np.float32), np.array([0.0, 0.0])
-    if not words:
-        return nothing
-    machine = KernelMachine([w.encode() for w, _ in words])
-    lean = np.array([v for _, v in words])
-    machine.table = (np.where(lean > 0, lean, 0) @ machine.z).astype(np.float32)
-
-    def look(table):
-        shared = rows.sparkSession.sparkContext.broadcast(table)
-
-        def best(batches):
+    marking, others = ([_encoded(w) for w in ws] for ws in _vocabulary(rows))
+    machine, none = KernelMachine(marking, others), np.zeros(3)
+    if not marking or not others:
+        return machine, none
+    wanted = set(marking)
+
+    def look():
+        shared = rows.sparkSession.sparkContext.broadcast(machine)
+
+        def worst(batches):
             for batch in batches:
-                top, where = best_windows(batch["text"], shared.value)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(top), pa.array(where, pa.binary())],
-                                                 names=["doc_id", "label", "top", "part"])
+                hits, close, where = shared.value.worst(batch["text"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch["doc_id"], batch["label"], pa.array(hits), pa.array(close), pa.array(where, pa.binary())],
+                    names=["doc_id", "label", "hits", "close", "word"])
 
-        return rows.mapInArrow(best, "doc_id long, label int, top double, part binary").orderBy(
-            "doc_id", "label", "top", "part").limit(2 * most).toPandas()
+        return rows.mapInArrow(worst, "doc_id long, label int, hits long, close long, word binary").orderBy(
+            "doc_id", "label", "hits", "word").limit(2 * most).toPandas()
 
-    clean: dict[bytes, None] = {}
+    clean = dict.fromkeys(w for w in others if w not in wanted)
     for _ in range(rounds):
-        found = look(machine.table)
-        y = found["label"].to_numpy()
-        if len(np.unique(y)) < 2:
-            return nothing
-        clean |= dict.fromkeys(found.loc[y == 0, "part"])
-        toxic = list(found.loc[y == 1, "part"])
-        machine.fit([*toxic, *clean], np.array([1] * len(toxic) + [0] * len(clean)))
-    found = look(machine.table)
-    return machine.table, fitted_logistic(found[["top"]].to_numpy(), found["label"].to_numpy(float), 1e-3)
+        machine.fit([*marking, *clean], np.array([1] * len(marking) + [0] * len(clean)))
+        found = look()
+        clean |= dict.fromkeys(w for w in found.loc[found["label"] == 0, "word"] if w and bytes(w) not in wanted)
+    machine.fit([*marking, *clean], np.array([1] * len(marking) + [0] * len(clean)))
+    found = look()
+    if found["label"].nunique() < 2:
+        return machine, none
+    return machine, fitted_logistic(
+        evidence(found["hits"].to_numpy(), found["close"].to_numpy()), found["label"].to_numpy(float), 1e-3)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
@@ -188,18 +244,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRES
     """``doc_id, held_out, score, predicted`` of every row, from its whole text alone.
 
     Held out are documents whose crc32(doc_id) mod 3 is 1; null doc_ids are not. A text's score comes
-    from its most toxic stretch. Null and empty texts get the score of a text without letters.
-    Repeated rows score alike; an empty table gives no rows; without labels of both kinds every
-    score is one half.
+    from its toxic words. Null and empty texts get the score of a text without letters.
+    Repeated rows score alike; an empty table gives no rows; without labels of both kinds, or words
+    that mark toxic ones, every score is one half.
     """
-    table, weights = fitted(docs, labels, most)
-    shared = docs.sparkSession.sparkContext.broadcast((table, weights))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, most))
 
     def judge(batches):
-        table, w = shared.value
+        machine, w = shared.value
         for batch in batches:
-            top, _ = best_windows(batch["text"], table)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(logistic(top * w[0] + w[1]))], names=["doc_id", "score"])
+            score = logistic(evidence(*machine.worst(batch["text"])[:2]) @ w[:2] + w[2])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(score)], names=["doc_id", "score"])
 
     scored = text_rows(docs).mapInArrow(judge, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(remainder(F.col("doc_id"), MODULUS) == HELD_OUT, F.lit(False)).alias("held_out"),
