@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskspark.llm import decontam, jaccard, linededup, packing, quality, toxicity
+from riskspark.llm import decontam, html, jaccard, linededup, packing, quality, toxicity
 from riskspark.sources.files import read_table
 
 QUERIES: dict = {}
@@ -47,3 +47,8 @@ def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_scores(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+@query
+def op6_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.page_texts(read_table(spark, folder, "pages"))
