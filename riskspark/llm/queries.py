@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from riskspark.llm import decontam, html, jaccard, linededup, packing, quality, toxicity
+from riskspark.llm import ann, decontam, html, jaccard, linededup, packing, quality, toxicity
 from riskspark.sources.files import read_table
 
 QUERIES: dict = {}
@@ -52,3 +52,9 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.page_texts(read_table(spark, folder, "pages"))
+
+
+@query
+def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_table(spark, folder, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
