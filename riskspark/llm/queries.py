@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from riskspark.llm import ann, decontam, html, jaccard, linededup, packing, quality, toxicity
+from riskspark.llm import ann, chat, decontam, html, jaccard, linededup, packing, quality, toxicity, urls
 from riskspark.sources.files import read_table
 
 QUERIES: dict = {}
@@ -58,3 +58,16 @@ def op6_html(spark: SparkSession, folder: str) -> DataFrame:
 def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = read_table(spark, folder, "embeddings")
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query
+def op5_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.rendered(chat.maximal_conversations(read_table(spark, folder, "conversations")))
+
+
+@query
+def op2_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judged_urls(read_table(spark, folder, "pages"), read_table(spark, folder, "labels"))
+
+
+SQL["op5_chat"] = chat.SQL
