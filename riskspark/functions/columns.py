@@ -50,7 +50,8 @@ def age_band(col: Column, edges: Sequence[float] = spec.AGE_EDGES,
 
 
 def clip01(col: Column) -> Column:
-    return F.when(col < 0, F.lit(0.0)).when(col > 1, F.lit(1.0)).otherwise(col)
+    """Into [0, 1]; an undefined value (NaN) is null, not 1."""
+    return F.when(F.isnan(col), F.lit(None)).when(col < 0, F.lit(0.0)).when(col > 1, F.lit(1.0)).otherwise(col)
 
 
 def logit(col: Column) -> Column:

@@ -356,7 +356,8 @@ def associations(df: DataFrame, spec: FeatureSpec, target: str = "target") -> Da
     of = {k: [c for c in names if spec[c] == k] for k in ("continuous", "binary", "categorical")}
     frames: list[DataFrame] = []
     if kind == "binary":
-        if of["binary"]:
+        two = df.select(ident(target)).filter(ident(target).isNotNull()).distinct().limit(3).count() == 2
+        if of["binary"] and two:
             chi = chi_square(cell_counts(df, of["binary"], target))
             frames.append(record(chi, "Chi-square", "chi2", "chi2", "binary"))
         frames.append(univariate_logistic(df, names, target, spec))

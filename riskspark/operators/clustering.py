@@ -35,7 +35,7 @@ def assemble(df: DataFrame, features: Sequence[str], name: str = "features") ->
 # -- quality ------------------------------------------------------------------
 def silhouette(df: DataFrame, features: Sequence[str], key: str, label: str, *, drop_noise: bool = False,
                block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Mean Euclidean silhouette, exact (quadratic work in bounded blocks).
+    """Mean Euclidean silhouette, exact (quadratic work in bounded blocks); -1 for fewer than two clusters.
 
     Use ``silhouette_squared`` where the table is too large for that.
     """
@@ -51,7 +51,7 @@ def silhouette(df: DataFrame, features: Sequence[str], key: str, label: str, *,
         F.min(F.when(~own, F.col("total") / F.col("size"))).alias("b"))
     s = F.when(F.col("n_own") == 1, F.lit(0.0)).otherwise(
         F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return per.agg(F.avg(s).alias("silhouette"))
+    return per.agg(F.when(F.max("b").isNotNull(), F.avg(s)).otherwise(-1.0).alias("silhouette"))
 
 
 def silhouette_squared(df: DataFrame, features: Sequence[str], label: str) -> float:

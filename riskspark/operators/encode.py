@@ -12,7 +12,6 @@ from riskspark.operators.longform import to_long
 from riskspark.operators.ranking import quantile_values
 from riskspark.spec import DEFAULT_DOMAINS, ORDINAL, Domains, FeatureSpec
 
-MAX_LEVELS = 2_000
 
 
 def add_age_band(df: DataFrame, source: str = "age", name: str = "age_bin") -> DataFrame:
@@ -39,19 +38,16 @@ def encode_extras(df: DataFrame, domains: Domains = DEFAULT_DOMAINS) -> DataFram
 def level_lists(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
     """Sorted distinct levels per categorical column (None last when nulls occur).
 
-    One aggregate for all columns; refuses columns with more than MAX_LEVELS levels.
+    One aggregate for all columns.
     """
     if not columns:
         return {}
     items = F.array(*[F.struct(F.lit(c).alias("c"), ident(c).cast("string").alias("v")) for c in columns])
-    rows = (df.select(F.inline(items)).distinct()
-            .limit(MAX_LEVELS * len(columns) + 1).collect())
+    rows = df.select(F.inline(items)).distinct().collect()  # levels, not rows
     levels: dict[str, list] = {c: [] for c in columns}
     for r in rows:
         levels[r["c"]].append(r["v"])
     for c, vs in levels.items():
-        if len(vs) > MAX_LEVELS:
-            raise ValueError(f"column {c} has over {MAX_LEVELS} levels: not a categorical feature")
         levels[c] = sorted(v for v in vs if v is not None) + ([None] if None in vs else [])
     return levels
 
@@ -91,11 +87,31 @@ def one_hot(df: DataFrame, spec: FeatureSpec, columns: Sequence[str]) -> tuple[D
     return enc.transform(df), enc.update(spec)
 
 
+@dataclass(frozen=True)
+class LevelCodes:
+    """Ablation without one-hot: position in the sorted levels; null and unseen levels are null.
+
+    The fitted levels encode training and inference rows alike.
+    """
+
+    levels: dict[str, list]
+
+    @classmethod
+    def fit(cls, df: DataFrame, columns: Sequence[str]) -> "LevelCodes":
+        lists = level_lists(df, [c for c in columns if c in df.columns])
+        return cls({c: [v for v in levels if v is not None] for c, levels in lists.items()})
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = {}
+        for c, levels in self.levels.items():
+            if c in df.columns:
+                code = F.array_position(F.array(*[F.lit(v) for v in levels]).cast("array<string>"), ident(c).cast("string"))
+                out[c] = F.when(code > 0, (code - 1).cast("int"))
+        return df.withColumns(out) if out else df
+
+
 def level_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Ablation without one-hot: position in the sorted levels, null stays null."""
-    for c, levels in level_lists(df, [c for c in columns if c in df.columns]).items():
-        df = df.withColumn(c, code_of(ident(c).cast("string"), [v for v in levels if v is not None]))
-    return df
+    return LevelCodes.fit(df, columns).transform(df)
 
 
 # -- scaling ------------------------------------------------------------------

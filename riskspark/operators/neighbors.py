@@ -123,12 +123,30 @@ def nearest(queries: DataFrame, base: DataFrame, features: Sequence[str], k: int
     return part.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def counted_votes(near: DataFrame, labelled: DataFrame, k: int) -> DataFrame:
+    """``query_id, y, votes``: of k nearest rows with ``labelled(base_id, y, copies)``, copies counted as rows.
+
+    ``near`` holds the k nearest different rows by rank; the last one that fits votes with the copies left.
+    """
+    before = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    met = near.join(labelled, "base_id").withColumn("_before", F.coalesce(F.sum("copies").over(before), F.lit(0)))
+    return met.select("query_id", "y", F.least("copies", F.lit(k) - F.col("_before")).alias("votes")).filter("votes > 0")
+
+
+def _neighbour_votes(queries, base, features, label, k, query_key, base_key, kw) -> DataFrame:
+    cols = [features] if isinstance(features, str) else list(features)
+    # rows that share the key are copies of one row
+    rows = base.groupBy(ident(base_key)).agg(*[F.first(ident(c)).alias(c) for c in dict.fromkeys(cols) if c != base_key],
+                                             F.first(label).alias("y"), F.count("*").alias("copies"))
+    near = nearest(queries, rows, features, k, query_key=query_key, base_key=base_key, **kw)
+    return counted_votes(near, rows.select(ident(base_key).alias("base_id"), "y", "copies"), k)
+
+
 def knn_vote(queries: DataFrame, base: DataFrame, features: Sequence[str], label: str, k: int = 5, *,
              query_key: str, base_key: str, **kw) -> DataFrame:
     """Majority class of the k nearest (smallest on a tie) and its share per query."""
-    near = nearest(queries, base, features, k, query_key=query_key, base_key=base_key, **kw)
-    labelled = near.join(base.select(ident(base_key).alias("base_id"), ident(label).alias("y")), "base_id")
-    votes = labelled.groupBy("query_id", "y").agg(F.count("*").alias("n"))
+    votes = _neighbour_votes(queries, base, features, ident(label), k, query_key, base_key, kw)
+    votes = votes.groupBy("query_id", "y").agg(F.sum("votes").alias("n"))
     return votes.groupBy("query_id").agg(
         F.min(F.struct(-F.col("n"), F.col("y")))["y"].alias("prediction"),
         (F.max("n") / F.sum("n")).alias("share"))
@@ -136,9 +154,8 @@ def knn_vote(queries: DataFrame, base: DataFrame, features: Sequence[str], label
 
 def knn_mean(queries: DataFrame, base: DataFrame, features: Sequence[str], label: str, k: int = 5, *,
              query_key: str, base_key: str, **kw) -> DataFrame:
-    near = nearest(queries, base, features, k, query_key=query_key, base_key=base_key, **kw)
-    labelled = near.join(base.select(ident(base_key).alias("base_id"), number(ident(label)).alias("y")), "base_id")
-    return labelled.groupBy("query_id").agg(F.avg("y").alias("prediction"))
+    votes = _neighbour_votes(queries, base, features, number(ident(label)), k, query_key, base_key, kw)
+    return votes.groupBy("query_id").agg((F.sum(F.col("y") * F.col("votes")) / F.sum("votes")).alias("prediction"))
 
 
 def cluster_distance_sums(df: DataFrame, features: Sequence[str], key: str, label: str, *,

@@ -6,6 +6,7 @@ import json
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from itertools import product
 
 from pyspark import StorageLevel
@@ -55,18 +56,21 @@ class SuiteResult:
     residuals: dict[str, DataFrame]
     spec: FeatureSpec
 
-    def risk_model(self, one_hot=None) -> RiskModel:
+    def risk_model(self, encoder=None) -> RiskModel:
+        """``encoder`` holds the levels of the training rows. A feature that is null for a row makes its risk null."""
         kind, model = self.spec["target"], self.model
 
         def score(df: DataFrame, name: str) -> DataFrame:
-            cols = df.columns
-            keyed = df.withColumn(KEY, F.md5(F.concat_ws("|", *[F.coalesce(ident(c).cast("string"), F.lit("")) for c in cols])))
-            keyed = keyed.withColumns({c: F.coalesce(number(ident(c)), F.lit(0.0)) for c in self.spec.features})
+            cols, features = df.columns, self.spec.features
+            known = reduce(lambda a, b: a & b, [number(ident(c)).isNotNull() for c in features], F.lit(True))
+            keyed = df.withColumn("_known", known).withColumns({c: F.coalesce(number(ident(c)), F.lit(0.0)) for c in features})
+            # rows of equal features score alike
+            keyed = keyed.withColumn(KEY, F.md5(F.concat_ws("|", *[ident(c).cast("string") for c in features])))
             out = model.transform(keyed)
             out = M.with_score(out, name) if kind == "binary" else out.withColumn(name, F.col("prediction"))
-            return out.select(*[ident(c) for c in cols], ident(name))
+            return out.select(*[ident(c) for c in cols], F.when(F.col("_known"), ident(name)).alias(name))
 
-        return RiskModel(self.spec, score, one_hot, self.threshold)
+        return RiskModel(self.spec, score, encoder, self.threshold)
 
 
 def prepare_rows(bundle: Bundle, key: str) -> tuple[DataFrame, int]:
@@ -306,7 +310,7 @@ def model_target(bundle: Bundle, key: str, options: SuiteOptions = SuiteOptions(
     """Selection (or plain encoding) and the model suite for one target."""
     if options.selection:
         picked = select_features(bundle, one_hot=options.one_hot)
-        return run_suite(picked.bundle, key, options), picked.one_hot
+        return run_suite(picked.bundle, key, options), picked.encoder
     encoded, enc = encode_categories(bundle, one_hot=options.one_hot)
     return run_suite(encoded, key, options), enc
 

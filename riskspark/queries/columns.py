@@ -53,6 +53,13 @@ def hhmm_hours(t: Tables):
     return rounded(E.encode_extras(t.events.select(key, text.alias("bedtime_hour"))))
 
 
+@query("clip_undefined", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE least(1, greatest(0, o_totalprice / 100000 - 1)) END AS unit FROM orders""")
+def clip_undefined(t: Tables):
+    """NaN is no risk of 1."""
+    x = F.when(F.col("o_orderkey") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice") / 100000 - 1)
+    return t.orders.select("o_orderkey", C.clip01(x).alias("unit"))
+
+
 @query("clip_unit", """
 SELECT l_orderkey, l_linenumber, l_partkey, round(least(greatest(l_quantity / 25.0::double - 0.5::double, 0), 1), 6) AS risk FROM lineitem""")
 def clip_unit(t: Tables):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from riskspark.operators import balance as B, evaluate as V, neighbors as N, split as S
+from riskspark.operators import balance as B, evaluate as V, models as M, neighbors as N, split as S
 from riskspark.queries.registry import Tables, component, query, rounded
 
 DIMS = [f"d{i}" for i in range(4)]
@@ -424,3 +425,29 @@ def boosted_trees(t: Tables):
     rows = component(t.embeddings.select("vec_id", (F.col("label") % 3).alias("label"), "embedding"), "embedding", range(8), "d").drop("embedding")
     return predict_clusters(rows, [f"d{i}" for i in range(8)], "vec_id", "label", folds=2,
                             models=("Boosted + SMOTE",), rounds=5)[1]
+
+
+@query("knn_vote_replicated", """
+WITH b AS (SELECT s_suppkey AS id, s_acctbal AS v, s_nationkey % 2 AS y, unnest(range(0, 1 + s_suppkey % 3)) AS copy FROM supplier),
+q AS (SELECT c_custkey, c_acctbal AS v FROM customer),
+n AS (SELECT c_custkey, y, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(b.v - q.v), id, copy) AS r FROM q, b)
+SELECT c_custkey, sum(y) AS ones, count(*) AS votes FROM n WHERE r <= 5 GROUP BY 1""")
+def knn_vote_replicated(t: Tables):
+    """Copies of a base row, as oversampling makes them, vote as rows."""
+    base = t.supplier.select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("v"), (F.col("s_nationkey") % 2).alias("y"),
+                             F.explode(F.sequence(F.lit(0), F.col("s_suppkey") % 3)).alias("copy"))
+    mean = N.knn_mean(t.customer.select("c_custkey", F.col("c_acctbal").alias("v")), base, ["v"], "y", 5, query_key="c_custkey", base_key="id")
+    return mean.select(F.col("query_id").alias("c_custkey"), F.round(F.col("prediction") * 5).cast("long").alias("ones"), F.lit(5).cast("long").alias("votes"))
+
+
+@query("ridge_logit_slope", """
+WITH r AS (SELECT c_acctbal / 10000 AS x, ln(y / (1 - y)) AS z FROM (SELECT c_acctbal, 0.2::double + 0.05::double * (c_custkey % 11) AS y FROM customer)),
+m AS (SELECT covar_pop(x, z) * count(*) AS sxz, var_pop(x) * count(*) AS sxx, avg(x) AS mx, avg(z) AS mz FROM r)
+SELECT round(sxz / (sxx + 10), 5) AS slope, round(mz - mx * sxz / (sxx + 10), 5) AS intercept FROM m""")
+def ridge_logit_slope(t: Tables):
+    """The ridge penalty is scaled by the deviation of the label that is fitted, the logit."""
+    y = F.lit(0.2) + F.lit(0.05) * (F.col("c_custkey") % 11)
+    rows = VectorAssembler(inputCols=["x"], outputCol=M.FEATURES).transform(t.customer.select(
+        F.col("c_custkey").cast("string").alias(M.KEY), (F.col("c_acctbal") / 10000).alias("x"), y.alias(M.LABEL), F.lit(1.0).alias(M.WEIGHT)))
+    model = M.REGRESSORS["Ridge Regression"].build({"alpha": 10.0}, M.fit_context(rows)).fit(rows).stages[0]
+    return rounded(t.spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double"), 5)

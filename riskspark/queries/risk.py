@@ -126,8 +126,28 @@ def preprocessed_participants(t: Tables):
 SELECT p_partkey AS id, p_brand AS typology, p_type AS kind, p_size AS noise_night FROM part WHERE p_partkey % 11 <> 0""")
 def cleaned_grid(t: Tables):
     key = F.col("p_partkey")
-    raw = t.part.select(key.alias("ID"), F.lit("Geneva").alias("City"), nulled(F.col("p_brand"), key, 11).alias("Typology"),
+    raw = t.part.select(key.alias("ID"), F.lit("Somewhere").alias("City"), nulled(F.col("p_brand"), key, 11).alias("Typology"),
                         F.col("p_type").alias(" Kind"), F.col("p_size").alias("Noise Night"), F.lit(3).alias("flat"),
                         (key + 0.5).alias("unique_measure"), F.col("p_size").alias("Left"), F.col("p_size").alias("bin_noise"),
                         *[F.col("p_size").alias(c) for c in ("top", "right", "bottom", "row_index", "col_index", "q_cluster", "z_distance")])
     return PP.clean_grid(raw)
+
+
+@query("risk_grid_repeated_keys", f"""WITH {_GRID},
+k AS (SELECT id AS old, CASE WHEN id % 3 = 0 THEN NULL ELSE id // 2 END AS id FROM g)
+SELECT k.id, income, education_level, age_bin, sex, round(risk_heart, 6) AS risk_heart, round(risk_lung, 6) AS risk_lung, typology
+FROM r JOIN k ON r.id = k.old""")
+def risk_grid_repeated_keys(t: Tables):
+    """Keys that repeat or are null: every grid row keeps its own combinations."""
+    grid = _grid(t).withColumn("id", F.when(F.col("id") % 3 != 0, F.floor(F.col("id") / 2)))
+    return rounded(K.score_grid(grid, _models(t), key="id", domains=_DOMAINS).drop("noise", "spend"))
+
+
+@query("risk_level_coded", """
+WITH lv AS (SELECT *, row_number() OVER (ORDER BY p_brand) - 1 AS c FROM (SELECT DISTINCT p_brand FROM part WHERE p_brand < 'Brand#4'))
+SELECT p_partkey, round(1 / (1 + exp(-(0.1::double * c - 1.0::double))), 6) AS score FROM part LEFT JOIN lv USING (p_brand)""")
+def risk_level_coded(t: Tables):
+    """Levels fitted on some rows code all rows; a level not seen there is null, and so is its score."""
+    codes = E.LevelCodes.fit(t.part.filter("p_brand < 'Brand#4'"), ["p_brand"])
+    coded = codes.transform(t.part.select("p_partkey", "p_brand"))
+    return rounded(K.LinearScore({"p_brand": 0.1}, -1.0).transform(coded).select("p_partkey", "score"))

@@ -70,16 +70,16 @@ WITH s AS (
   SELECT 'p_type', count(DISTINCT p_type), count(*) FROM part UNION ALL
   SELECT 'p_size', count(DISTINCT p_size), count(*) FROM part UNION ALL
   SELECT 'p_retailprice', count(DISTINCT p_retailprice), count(*) FROM part UNION ALL
-  SELECT 'city', count(DISTINCT 'Geneva'), count(*) FROM part)
+  SELECT 'city', count(DISTINCT 'Somewhere'), count(*) FROM part)
 SELECT feature, n_distinct, n_rows, (n_distinct = n_rows OR n_distinct <= 1) AS prune FROM s""")
 def cardinality_prune_stats(t: Tables):
-    return R.cardinality_stats(t.part.withColumn("city", F.lit("Geneva")))
+    return R.cardinality_stats(t.part.withColumn("city", F.lit("Somewhere")))
 
 
 @query("cardinality_pruned", """
 SELECT p_name, p_brand, p_type, p_size FROM part""")
 def cardinality_pruned(t: Tables):
-    kept = R.prune_by_cardinality(t.part.withColumn("city", F.lit("Geneva")).drop("p_retailprice"))
+    kept = R.prune_by_cardinality(t.part.withColumn("city", F.lit("Somewhere")).drop("p_retailprice"))
     return kept
 
 

@@ -30,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current is None:
         named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="riskspark-"))
         current = sc.getCheckpointDir()
     return current

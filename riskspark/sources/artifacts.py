@@ -7,7 +7,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import SparkSession
 
 from riskspark.functions.columns import safe_name_text
-from riskspark.operators.encode import OneHot
+from riskspark.operators.encode import LevelCodes, OneHot
 from riskspark.operators.models import NearestRowsModel
 from riskspark.plans.risk import RiskModel
 from riskspark.plans.supervised import SuiteResult
@@ -17,7 +17,7 @@ CONFIG = ("model string, model_file string, dataset_name string, threshold doubl
           "enable_ohe boolean, levels map<string,array<string>>, neighbours struct<k:int,kind:string,output:string,at:int>")
 
 
-def save_result(result: SuiteResult, root: str, dataset: str, one_hot: OneHot | None = None) -> str:
+def save_result(result: SuiteResult, root: str, dataset: str, encoder: OneHot | LevelCodes | None = None) -> str:
     """Model directory and a one-row JSON configuration under ``root/<dataset>``."""
     spark = result.leaderboard.sparkSession
     folder = f"{root.rstrip('/')}/{safe_name_text(dataset)}"
@@ -33,8 +33,8 @@ def save_result(result: SuiteResult, root: str, dataset: str, one_hot: OneHot |
         neighbours = (s.k, s.kind, s.output, i)
     else:
         result.model.write().overwrite().save(f"{folder}/{file}")
-    row = (result.best_name, file, dataset, result.threshold, dict(result.spec), one_hot is not None,
-           one_hot.levels if one_hot else None, neighbours)
+    row = (result.best_name, file, dataset, result.threshold, dict(result.spec), isinstance(encoder, OneHot),
+           encoder.levels if encoder else None, neighbours)
     spark.createDataFrame([row], CONFIG).coalesce(1).write.mode("overwrite").json(f"{folder}/config")
     return folder
 
@@ -81,7 +81,8 @@ def load_risk_models(spark: SparkSession, root: str) -> dict[str, RiskModel]:
         if model is None or not cfg["feature_types"]:
             continue
         spec = FeatureSpec(cfg["feature_types"])
-        enc = OneHot({k: list(v) for k, v in cfg["levels"].items()}) if cfg["levels"] else None
+        kind = OneHot if cfg["enable_ohe"] else LevelCodes
+        enc = kind({k: list(v) for k, v in cfg["levels"].items()}) if cfg["levels"] else None
         shell = SuiteResult(None, cfg["model"], {}, cfg["threshold"], model, spec.features, None, {}, {}, spec)
         out[name] = shell.risk_model(enc)
     return out
