@@ -118,7 +118,8 @@ def _encoded(word: str) -> bytes:
 class KernelMachine:
     """``sum_j alpha_j k(x, z_j) + bias`` over landmarks ``z_j``."""
 
-    def __init__(self, marking: list[bytes], others: list[bytes]):
+    def __init__(self, marking: list[bytes], others: list[bytes], alpha: np.ndarray | None = None, bias: float = 0.0):
+        self.marking, self.others = marking, others
         words = [*marking, *others]
         z = np.zeros((_SIZE, len(words)), np.float32)
         for j, w in enumerate(words):
@@ -129,15 +130,19 @@ class KernelMachine:
                     np.add.at(z[:, j], (((x[:n] << _BITS) | x[a: a + n]) << _BITS) | x[b: b + n], worth)
         self.z = z / np.maximum(np.linalg.norm(z, axis=0), 1e-9)
         self.bound = self.z[:, :len(marking)].max(1) if marking else np.zeros(_SIZE, np.float32)
-        kernel = similarities(words, self.z).astype(np.float64)
-        values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
-        self.root = vectors / np.sqrt(np.maximum(values, 1e-3))      # K_mm^(-1/2), up to a rotation
-        self.alpha, self.bias = np.zeros(len(words)), 0.0
+        self.alpha, self.bias = np.zeros(len(words)) if alpha is None else alpha, bias
         self.values: dict[bytes, float] = {}    # decision values of words already met, REMEMBERED at most
 
+    def __reduce__(self):
+        # what travels to the executors is the landmarks' letters; their tables are built there
+        return KernelMachine, (self.marking, self.others, self.alpha, self.bias)
+
     def fit(self, words: list[bytes], y: np.ndarray, cost: float = 10.0) -> "KernelMachine":
         """Squared-hinge support vector machine on the Nystroem features, by Newton steps."""
-        x = np.column_stack((similarities(words, self.z) @ self.root, np.ones(len(words))))
+        kernel = similarities([*self.marking, *self.others], self.z).astype(np.float64)
+        values, vectors = np.linalg.eigh((kernel + kernel.T) / 2)
+        root = vectors / np.sqrt(np.maximum(values, 1e-3))      # K_mm^(-1/2), up to a rotation
+        x = np.column_stack((similarities(words, self.z) @ root, np.ones(len(words))))
         sign = np.where(y > 0, 1.0, -1.0)
         weight = cost * np.where(y > 0, len(y) / max(1, 2 * (y > 0).sum()), len(y) / max(1, 2 * (y <= 0).sum()))
         w, keep = np.zeros(x.shape[1]), np.ones(x.shape[1])
@@ -150,7 +155,7 @@ class KernelMachine:
             w -= step
             if np.abs(step).max() < 1e-7:
                 break
-        self.alpha, self.bias, self.values = self.root @ w[:-1], float(w[-1]), {}
+        self.alpha, self.bias, self.values = root @ w[:-1], float(w[-1]), {}
         return self
 
     def worst(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
