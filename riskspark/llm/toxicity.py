@@ -231,12 +231,14 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, rounds
         return rows.mapInArrow(worst, "doc_id long, label int, hits long, close long, word binary").orderBy(
             "doc_id", "label", "hits", "word").limit(2 * most).toPandas()
 
+    # spellings with a character put in are toxic, too
+    insulting = [*marking, *(w[:at] + bytes([25]) + w[at:] for w in marking if len(w) > 3 for at in (2, len(w) - 2))]
     clean = dict.fromkeys(w for w in others if w not in wanted)
     for _ in range(rounds):
-        machine.fit([*marking, *clean], np.array([1] * len(marking) + [0] * len(clean)))
+        machine.fit([*insulting, *clean], np.array([1] * len(insulting) + [0] * len(clean)))
         found = look()
         clean |= dict.fromkeys(w for w in found.loc[found["label"] == 0, "word"] if w and bytes(w) not in wanted)
-    machine.fit([*marking, *clean], np.array([1] * len(marking) + [0] * len(clean)))
+    machine.fit([*insulting, *clean], np.array([1] * len(insulting) + [0] * len(clean)))
     found = look()
     if found["label"].nunique() < 2:
         return machine, none
