@@ -5,7 +5,7 @@ apart up to a span and worth less the wider they stand, normalised and raised to
 an insult with gaps or inserted characters still shares most of its triples. A word is what
 stands between white space, its letters only, and runs of one or two letters join up, so
 "id-iot" and "i d i o t" are one word each. A text's score comes from how
-many of its words are toxic or close to it.
+many of its words are toxic.
 
 Landmarks are words that mark the toxic class and some of the rest. A table of the largest
 landmark entry per triple bounds every similarity from above; only words whose bound reaches
@@ -22,19 +22,20 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskspark.llm.common import staged, text_rows
 from riskspark.llm.labelled import fitted_logistic, labelled_rows, logistic, remainder, training_labels
-from riskspark.llm.words import LOWER, as_bytes, spans
+from riskspark.llm.words import LOWER, NOT_SPACE, as_bytes, runs, shingle_sets, spans
 
 THRESHOLD = 0.7
 MODULUS, HELD_OUT = 3, 1
 #: Most labelled documents the machine is fitted on.
 TRAINING_ROWS = 8_000
-MARKING, OTHERS = 160, 64    # landmarks
+MARKING, OTHERS = 128, 32    # landmarks
 SPAN = 6        # widest triple, in characters
 DECAY = 0.7     # worth of each further character
 POWER = 3
-LEAST = 0.55
+LEAST = 0.65
 LONGEST = 32    # a longer run of letters is cut
 REMEMBERED = 200_000
+SURE = 0.8      # decision value of a word that is toxic beyond doubt
 
 #: 1 is the edge of a word, 2 to 27 a letter a-z, 28 to 31 bytes of letters beyond ASCII, 0 what is skipped.
 _CODES = np.zeros(256, np.int32)
@@ -159,10 +160,10 @@ class KernelMachine:
         return self
 
     def worst(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Of each whole text: how many words are toxic, how many are close to it, and the worst word."""
+        """Of each whole text: how many words are toxic, how many beyond doubt, and the worst word."""
         raw, offsets = as_bytes(texts)
         top, where = np.full(len(texts), -np.inf), [b""] * len(texts)
-        hits, close = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        hits, sure = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for a, b in spans(offsets, 1 << 19):
             codes, begin, doc = words_of(raw[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
             near = np.flatnonzero(bounds(codes, begin, self.bound) >= LEAST)
@@ -178,15 +179,15 @@ class KernelMachine:
             for i, w in zip((a + doc[near]).tolist(), words):
                 v = value[w]
                 hits[i] += v > 0
-                close[i] += v > -0.6
+                sure[i] += v > SURE
                 if v > top[i]:
                     top[i], where[i] = v, w
-        return hits, close, where
+        return hits, sure, where
 
 
-def evidence(hits: np.ndarray, close: np.ndarray) -> np.ndarray:
-    """What a text is judged by, from its counts of toxic and of nearly toxic words."""
-    return np.column_stack((np.log1p(hits), np.log1p(close)))
+def evidence(hits: np.ndarray, sure: np.ndarray) -> np.ndarray:
+    """What a text is judged by, from its counts of toxic words and of those beyond doubt."""
+    return np.column_stack((np.log1p(hits), np.log1p(sure)))
 
 
 def _vocabulary(rows: DataFrame) -> tuple[list[str], list[str]]:
@@ -199,7 +200,7 @@ def _vocabulary(rows: DataFrame) -> tuple[list[str], list[str]]:
     # standard deviations above what the share of toxic documents lets expect
     lean = (F.col("p") - F.col("n") * share) / F.sqrt(F.col("n") * share + 0.25)
     scored = seen.withColumn("lean", lean)
-    marking = scored.where("lean > 4 and p >= 0.8 * n").orderBy(F.desc("lean"), "word").limit(MARKING).collect()
+    marking = scored.where("lean > 6 and p >= 0.8 * n").orderBy(F.desc("lean"), "word").limit(MARKING).collect()
     others = scored.where("p < 0.5 * n").orderBy(F.xxhash64("word"), "word").limit(OTHERS).collect()
     return [r["word"] for r in marking], [r["word"] for r in others]
 
@@ -211,8 +212,19 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, rounds
     worst word of every clean document, then the counts of toxic words are calibrated on the labels.
     """
     sample = training_labels(labels, "toxic", MODULUS, HELD_OUT, most)
-    rows = staged(labelled_rows(text_rows(docs), sample).select("doc_id", "text", "label"), "toxic-sample")
-    marking, others = ([_encoded(w) for w in ws] for ws in _vocabulary(rows))
+    def sketch(batches):
+        # smallest 5-word hash: near copies of a document mostly share it
+        for batch in batches:
+            least = np.zeros(batch.num_rows, np.int64)
+            for a, b, run in runs(batch["text"], NOT_SPACE):
+                sets, at = shingle_sets(run)
+                some = np.flatnonzero(np.diff(at))
+                least[a + some] = sets[at[some]].astype(np.int64)
+            yield batch.append_column("sketch", pa.array(least))
+
+    rows = staged(labelled_rows(text_rows(docs), sample).select("doc_id", "text", "label").mapInArrow(
+        sketch, "doc_id long, text string, label int, sketch long"), "toxic-sample")
+    marking, others = ([_encoded(w) for w in ws] for ws in _vocabulary(rows.dropDuplicates(["sketch", "label"])))
     machine, none = KernelMachine(marking, others), np.zeros(3)
     if not marking or not others:
         return machine, none
@@ -223,12 +235,12 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, rounds
 
         def worst(batches):
             for batch in batches:
-                hits, close, where = shared.value.worst(batch["text"])
+                hits, sure, where = shared.value.worst(batch["text"])
                 yield pa.RecordBatch.from_arrays(
-                    [batch["doc_id"], batch["label"], pa.array(hits), pa.array(close), pa.array(where, pa.binary())],
-                    names=["doc_id", "label", "hits", "close", "word"])
+                    [batch["doc_id"], batch["label"], pa.array(hits), pa.array(sure), pa.array(where, pa.binary())],
+                    names=["doc_id", "label", "hits", "sure", "word"])
 
-        return rows.mapInArrow(worst, "doc_id long, label int, hits long, close long, word binary").orderBy(
+        return rows.mapInArrow(worst, "doc_id long, label int, hits long, sure long, word binary").orderBy(
             "doc_id", "label", "hits", "word").limit(2 * most).toPandas()
 
     # spellings with a character put in are toxic, too
@@ -243,7 +255,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, rounds
     if found["label"].nunique() < 2:
         return machine, none
     return machine, fitted_logistic(
-        evidence(found["hits"].to_numpy(), found["close"].to_numpy()), found["label"].to_numpy(float), 1e-3)
+        evidence(found["hits"].to_numpy(), found["sure"].to_numpy()), found["label"].to_numpy(float), 1e-3)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
