@@ -106,7 +106,11 @@ def calinski_davies(df: DataFrame, features: Sequence[str], label: str) -> DataF
 # -- fits ---------------------------------------------------------------------
 def kmeans_sweep(df: DataFrame, features: Sequence[str], key: str, ks: Sequence[int] = range(2, 11), *,
                  restarts: int = 10, seed: int = 42, exact_silhouette: bool = False) -> DataFrame:
-    """k, inertia and silhouette per k; best of ``restarts`` starts."""
+    """k, inertia and silhouettes per k; best of ``restarts`` starts.
+
+    ``silhouette`` is the Euclidean one, quadratic in the rows and null unless ``exact_silhouette``;
+    ``silhouette_squared`` uses squared distances and is linear.
+    """
     vec = assemble(df.select(ident(key), *[ident(f) for f in features]), features).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     try:
@@ -114,14 +118,12 @@ def kmeans_sweep(df: DataFrame, features: Sequence[str], key: str, ks: Sequence[
             fits = [KMeans(k=k, seed=seed + r, maxIter=100).fit(vec) for r in range(restarts)]
             best = min(fits, key=lambda m: m.summary.trainingCost)
             labelled = best.transform(vec)
-            if exact_silhouette:
-                score = silhouette(labelled, features, key, "prediction").first()[0]
-            else:
-                score = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(labelled)
-            rows.append((int(k), float(best.summary.trainingCost), float(score)))
+            exact = silhouette(labelled, features, key, "prediction").first()[0] if exact_silhouette else None
+            score = ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(labelled)
+            rows.append((int(k), float(best.summary.trainingCost), exact, float(score)))
     finally:
         vec.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, silhouette_squared double")
 
 
 def mixture_scores(log_likelihood: float, k: int, d: int, n: int) -> tuple[float, float]:
@@ -131,7 +133,7 @@ def mixture_scores(log_likelihood: float, k: int, d: int, n: int) -> tuple[float
 
 
 def mixture_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(2, 11), *,
-                  restarts: int = 1, seed: int = 42, max_iter: int = 100) -> DataFrame:
+                  restarts: int = 5, seed: int = 42, max_iter: int = 100) -> DataFrame:
     """n, bic, aic per component count; best likelihood of ``restarts`` starts."""
     vec = assemble(df.select(*[ident(f) for f in features]), features).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
@@ -151,12 +153,16 @@ def best_components(sweep: DataFrame, score: str = "bic") -> int:
 
 
 def mixture_labels(df: DataFrame, features: Sequence[str], k: int, *, seed: int = 42, name: str = "cluster",
-                   weight: str | None = None) -> DataFrame:
+                   weight: str | None = None, restarts: int = 5) -> DataFrame:
+    """Component of each row in the likeliest of ``restarts`` mixtures."""
     vec = assemble(df, features, "_vec")
-    gm = GaussianMixture(k=k, seed=seed, featuresCol="_vec", predictionCol=name, probabilityCol="_prob")
-    if weight:
-        gm = gm.setWeightCol(weight)
-    return gm.fit(vec).transform(vec).drop("_vec", "_prob")
+
+    def fit(start: int):
+        gm = GaussianMixture(k=k, seed=start, featuresCol="_vec", predictionCol=name, probabilityCol="_prob")
+        return (gm.setWeightCol(weight) if weight else gm).fit(vec)
+
+    best = max((fit(seed + r) for r in range(restarts)), key=lambda m: m.summary.logLikelihood)
+    return best.transform(vec).drop("_vec", "_prob")
 
 
 def ward_merge(centers: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:

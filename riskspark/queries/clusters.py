@@ -127,7 +127,7 @@ def map_coordinates(t: Tables):
 
 @query("kmeans_sweep")
 def kmeans_sweep(t: Tables):
-    return C.kmeans_sweep(_views(t), MORPH, "vec_id", range(2, 7), restarts=2)
+    return C.kmeans_sweep(_views(t), MORPH, "vec_id", exact_silhouette=True)
 
 
 @query("mixture_sweep")
@@ -157,4 +157,4 @@ def bootstrap_stability(t: Tables):
 
 @query("anomalies")
 def anomalies(t: Tables):
-    return AN.anomalies(_views(t), ENV, "vec_id", trees=50).select("vec_id", "anomaly")
+    return AN.anomalies(_views(t), ENV, "vec_id", trees=100).select("vec_id", "anomaly")

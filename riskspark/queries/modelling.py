@@ -336,6 +336,21 @@ def regressor_suite(t: Tables):
         "Linear Regression", "Ridge Regression", "Lasso Regression", "Random Forest Regressor")))[0].leaderboard
 
 
+@query("logistic_search")
+def logistic_search(t: Tables):
+    """The whole grid, five folds and the refinement pass."""
+    from riskspark.plans.supervised import SuiteOptions, model_target
+    return model_target(_doc_bundle(t), "doc_id", SuiteOptions(models=(
+        "Logistic Regression (Ridge)", "Logistic Regression (Lasso)")))[0].leaderboard
+
+
+@query("linear_search")
+def linear_search(t: Tables):
+    from riskspark.plans.supervised import SuiteOptions, model_target
+    return model_target(_doc_bundle(t, "continuous"), "doc_id", SuiteOptions(models=(
+        "Linear Regression", "Ridge Regression", "Lasso Regression")))[0].leaderboard
+
+
 def _fitted(t: Tables, kind: str, name: str, params: dict):
     """One fit on all rows and its score per document."""
     from riskspark.plans import supervised as P
@@ -350,17 +365,17 @@ def _fitted(t: Tables, kind: str, name: str, params: dict):
 
 @query("svm_rbf_scores")
 def svm_rbf_scores(t: Tables):
-    return _fitted(t, "binary", "SVM (RBF)", {"C": 1.0, "gamma": "scale", "size": 50})
+    return _fitted(t, "binary", "SVM (RBF)", {"C": 1.0, "gamma": "scale"})
 
 
 @query("svr_rbf_scores")
 def svr_rbf_scores(t: Tables):
-    return _fitted(t, "continuous", "SVR (RBF)", {"C": 1.0, "gamma": "scale", "size": 50})
+    return _fitted(t, "continuous", "SVR (RBF)", {"C": 1.0, "gamma": "scale"})
 
 
 @query("kernel_ridge_scores")
 def kernel_ridge_scores(t: Tables):
-    return _fitted(t, "continuous", "Kernel Ridge", {"alpha": 1.0, "size": 50})
+    return _fitted(t, "continuous", "Kernel Ridge", {"alpha": 1.0})
 
 
 @query("knn_regressor_scores")
@@ -382,7 +397,7 @@ def permutation_importance(t: Tables):
     rows, _ = P.prepare_rows(b, "doc_id")
     split = P._Split(rows, rows, b.spec, _options())
     _, model, order = split.fit(P.M.CLASSIFIERS["Logistic Regression (Ridge)"], {"C": 1.0})
-    return P.permutation_importance(model, rows, order, "binary", repeats=2)
+    return P.permutation_importance(model, rows, order, "binary")
 
 
 @query("multi_output_ridge")
