@@ -53,13 +53,34 @@ def signatures(lines: pa.Array) -> np.ndarray:
     return out
 
 
-def _jaccard(a: str, b: str) -> float:
-    def shingles(x):
-        return np.unique(_shingle_codes(LOWER[np.frombuffer(x.encode(), np.uint8)]))
+class _Shingles:
+    """Shingle sets by line; lines that come in many pairs are cut once, within bounded memory."""
 
-    x, y = shingles(a), shingles(b)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+    KEPT = 1 << 22      # shingles
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+        self.size = 0
+
+    def __call__(self, line: str) -> np.ndarray:
+        got = self.held.get(line)
+        if got is None:
+            got = np.unique(_shingle_codes(LOWER[np.frombuffer(line.encode(), np.uint8)]))
+            if self.size + len(got) > self.KEPT:
+                self.held, self.size = {}, 0
+            self.held[line] = got
+            self.size += len(got)
+        return got
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    # the smaller set looks itself up in the larger one
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small):
+        return 0.0
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return both / (len(x) + len(y) - both)
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -106,8 +127,9 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
         F.min("line").alias("line")), "line-texts")
 
     def verify(batches):
+        sets = _Shingles()
         for batch in batches:
-            near = [_jaccard(x, y) >= similarity for x, y in zip(batch["line_a"].to_pylist(), batch["line_b"].to_pylist())]
+            near = [_jaccard(sets(x), sets(y)) >= similarity for x, y in zip(batch["line_a"].to_pylist(), batch["line_b"].to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     a, b = (texts.select(F.col("key").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
