@@ -274,3 +274,28 @@ def test_grid_has_168_rows_per_cell_and_no_join(spark):
     out = T.with_socio_combinations(grid)
     assert out.count() == 336
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+# -- no caps ------------------------------------------------------------------
+def test_three_thousand_levels_are_coded(spark):
+    df = spark.range(6000).select("id", F.format_string("v%04d", F.col("id") % 3000).alias("v"))
+    codes = E.LevelCodes.fit(df, ["v"])
+    got = codes.transform(df).agg(F.countDistinct("v"), F.min("v"), F.max("v")).first()
+    assert tuple(got) == (3000, 0, 2999)
+    assert values(codes.transform(spark.createDataFrame([("nowhere",), (None,)], "v string")), "v") == [None, None]
+
+
+def test_twelve_hundred_folds_all_count(spark):
+    df = spark.range(6000).select(F.rand(1).alias("x"), (F.col("id") % 1200).alias("fold")).withColumn("y", 2 * F.col("x") + 1)
+    got = {r["alpha"]: r["mean_r2"] for r in L.ridge_cv(df, ["x"], ["y"], alphas=[1e-6]).collect()}
+    assert got[1e-6] > 0.999
+
+
+def test_silhouette_of_one_cluster(spark):
+    _, df = points(spark, 20)
+    assert K.silhouette(df.withColumn("c", F.lit(0)), ["x0", "x1"], "id", "c").first()[0] == -1
+
+
+def test_undefined_risk_is_null(spark):
+    df = spark.createDataFrame([(float("nan"),), (2.0,), (-1.0,), (0.5,), (None,)], "x double")
+    assert values(df.select(C.clip01(F.col("x")).alias("x")), "x") == [None, 1.0, 0.0, 0.5, None]
