@@ -13,6 +13,7 @@ from riskspark.llm.common import text_rows
 from riskspark.llm.words import ALNUM, as_bytes, run_of, runs, window_hashes
 
 WINDOW = 10
+BITS = 20       # of a hash that the first look-up reads
 #: Most benchmark bytes sent to executors at once; a larger benchmark is scanned in parts of this size.
 PART_BYTES = 32 << 20
 
@@ -37,12 +38,24 @@ class Windows:
                 found = by.setdefault((k, h), {})
                 found.setdefault(words[i: i + k], set()).add(item)
         self.by = by
+        self._index()
+
+    def __getstate__(self):
+        # the look-up tables are made anew where the windows arrive
+        return self.size, self.by
+
+    def __setstate__(self, state):
+        self.size, self.by = state
+        self._index()
+
+    def _index(self):
+        by = self.by
         self.hashes = {k: np.array(sorted(h for s, h in by if s == k), np.uint64) for k in {s for s, _ in by}}
         # a bit per low hash value lets nearly every window pass by one look-up
         self.bits = {}
         for k, hashes in self.hashes.items():
-            bits = np.zeros(1 << 22, bool)
-            bits[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+            bits = np.zeros(1 << BITS, bool)
+            bits[(hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
             self.bits[k] = bits
 
     def scan(self, run) -> Iterator[tuple[int, int, int, set]]:
@@ -50,7 +63,7 @@ class Windows:
         first = run.first
         for k, hashes in self.hashes.items():
             wide = window_hashes(run.hashes, k)
-            near = np.flatnonzero(self.bits[k][(wide & np.uint64((1 << 22) - 1)).astype(np.int64)])
+            near = np.flatnonzero(self.bits[k][(wide & np.uint64((1 << BITS) - 1)).astype(np.int64)])
             near = near[run.doc[near] == run.doc[near + k - 1]]
             at = np.searchsorted(hashes, wide[near])
             near = near[(at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == wide[near])]
