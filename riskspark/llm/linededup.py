@@ -6,7 +6,7 @@ from string import ascii_lowercase, ascii_uppercase
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from riskspark.llm.common import only, staged, text_rows
 from riskspark.llm.graph import components
@@ -16,6 +16,8 @@ SHINGLE = 8        # characters (bytes of the folded line)
 BANDS, ROWS = 8, 3  # a pair at similarity 0.8 shares a band with probability 0.997
 LEAST = 30         # shorter lines are always kept
 SIMILARITY = 0.8
+#: Lines, and bytes of them, that one task compares all with all; a fuller band is compared in pairs of blocks.
+BLOCK, BLOCK_BYTES = 1024, 1 << 21
 
 _RNG = np.random.default_rng(20_240_101)
 _MUL = (_RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * 2 + 1).astype(np.uint32)
@@ -83,6 +85,75 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _joined(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the parts of lines which any near-equal pair of different parts and sides joins (side 0 goes with 0)."""
+    sizes = np.array([len(s) for s in sets])
+    shingle, at = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(sizes) - sizes
+    held, part, found = np.zeros(len(shingle), bool), part.copy(), []
+    for i in np.flatnonzero((side < 2) & (sizes > 0)).tolist():
+        other = (part != part[i]) & ((side[i] == 0) | (side != side[i]))
+        other &= (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]))
+        rows = np.flatnonzero(other)
+        if not len(rows):
+            continue
+        mine = at[begin[i]: begin[i] + sizes[i]]
+        held[mine] = True
+        for j in rows.tolist():
+            if part[j] != part[i]:
+                both = int(held[at[begin[j]: begin[j] + sizes[j]]].sum())
+                if both / (sizes[i] + sizes[j] - both) >= similarity:
+                    found.append((i, j))
+                    part[part == part[j]] = part[i]
+        held[mine] = False
+    return found
+
+
+def _rest(met: DataFrame, label: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between lines that share a band, are neither its smallest nor its largest key, and lie in different components.
+
+    The lines of a full band are dealt into blocks; every two blocks, and every block with itself, are a
+    group of bounded size. Of each group come the links that join its components, fewer than its lines.
+    """
+    rows = met.where("key <> low and key <> high").select("key", "place").join(
+        label.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    rows = rows.join(texts.select("key", F.octet_length("line").cast("long").alias("bytes")), "key")
+    full = rows.groupBy("place").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.greatest(
+        F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias("blocks")).where("c1 < c2")
+    rows = rows.join(full.select("place", "blocks"), "place").withColumn("own", F.pmod(F.xxhash64("key"), "blocks"))
+    rows = rows.select("place", "key", "component", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select(
+        F.xxhash64("place", F.least("own", "other"), F.greatest("own", "other")).alias("place"), "key", "component",
+        F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"))
+    rows = rows.join(texts, "key").repartition("place").sortWithinPartitions("place", "key")
+
+    def join(batches):
+        sets, held = _Shingles(), None
+        for batch in batches:
+            table = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            place = table["place"].to_numpy()
+            whole = int(np.searchsorted(place, place[-1])) if len(place) else 0
+            held = table.slice(whole)
+            yield links(table.slice(0, whole), sets)
+        if held is not None:
+            yield links(held, sets)
+
+    def links(table, sets):
+        place, key, part, side = (table[c].to_numpy() for c in ("place", "key", "component", "side"))
+        ends = np.append(np.flatnonzero(place[1:] != place[:-1]) + 1, len(place))
+        a, b, begin = [], [], 0
+        for end in ends.tolist() if len(place) else []:
+            if end - begin > 1 and (part[begin: end] != part[begin]).any():
+                lines = [sets(x) for x in table["line"].slice(begin, end - begin).to_pylist()]
+                for i, j in _joined(lines, part[begin: end], side[begin: end], similarity):
+                    a.append(key[begin + i])
+                    b.append(key[begin + j])
+            begin = end
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(join, "a long, b long")
+
+
 def _lines(rows: DataFrame) -> DataFrame:
     return rows.where("doc_id is not null").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(
@@ -101,7 +172,8 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     Equal lines (A-Z folded) come together by their key first, so a line that fills a third
     of the table is one row from there on. Distinct lines that share a band are compared with
     the smallest and the largest key of the band, exactly, by their shingle sets; verified
-    pairs are joined to components.
+    pairs are joined to components. Then the other lines of the band are compared with each
+    other as far as they lie in different components.
     """
     rows = text_rows(docs)
 
@@ -115,15 +187,13 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     signed = staged(_keyed(_lines(rows)).mapInArrow(
         sign, "doc_id long, pos int, key long, " + ", ".join(f"b{i} long" for i in range(BANDS))), "lines")
     distinct = signed.groupBy("key").agg(*(F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
-    banded = distinct.select("key", F.posexplode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("band", "sig"))
-    together = Window.partitionBy("band", "sig")
-    met = banded.select("key", F.min("key").over(together).alias("low"), F.max("key").over(together).alias("high"))
-    met = met.where("low < high")
-    pairs = staged(met.select(F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b"))
-                   .where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-                   "line-pairs")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    texts = staged(only(_keyed(_lines(rows)), keys, "key").groupBy("key").agg(
+    # the band's number is part of its value, so the value alone names the meeting place
+    banded = distinct.select("key", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("place")).where("place <> 0")
+    ends = banded.groupBy("place").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    met = staged(banded.join(ends, "place"), "line-met")
+    pairs = (met.select(F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b"))
+             .where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    texts = staged(only(_keyed(_lines(rows)), met.select("key").distinct(), "key").groupBy("key").agg(
         F.min("line").alias("line")), "line-texts")
 
     def verify(batches):
@@ -133,8 +203,10 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     a, b = (texts.select(F.col("key").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
-    linked = components(pairs.join(a, "a").join(b, "b").select("a", "b", "line_a", "line_b").mapInArrow(
+    label = components(pairs.join(a, "a").join(b, "b").select("a", "b", "line_a", "line_b").mapInArrow(
         verify, "a long, b long"))
+    rest = staged(_rest(met, label, texts, similarity), "line-rest")
+    linked = components(rest.unionByName(label.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     first = signed.groupBy("key").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("n"))
     named = first.join(linked, first["key"] == linked["node"], "left").select(
         "key", F.coalesce("component", "key").alias("component"), "first", "n", F.col("node").isNotNull().alias("linked"))

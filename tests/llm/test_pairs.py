@@ -145,6 +145,28 @@ def test_line_dedup_equals_all_pairs(spark):
         assert got[d]["n_removed"] == sum(x == d for x, _ in gone)
 
 
+@pytest.mark.parametrize("block", [1024, 30])
+def test_families_of_lines_that_share_bands(spark, monkeypatch, block):
+    """Near-equal lines link though the ends of every band they share belong to other families."""
+    monkeypatch.setattr(L, "BLOCK", block)
+    rng = random.Random(3)
+
+    def text(n):
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+    common = text(160)
+    lines = []
+    for _ in range(150):
+        own = text(36)
+        lines += [common + own, common + own[:-10] + text(10)]
+    sets = [char_sets(x) for x in lines]
+    linked = [(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= L.SIMILARITY * len(sets[i] | sets[j])]
+    assert linked == [(i + 1, i) for i in range(0, 300, 2)]
+    docs = spark.createDataFrame([(i, x, "en", "s", 0) for i, x in enumerate(lines)], DOCS)
+    gone = {r["doc_id"] for r in L.dedup_lines(docs, counts=True).collect() if r["n_removed"]}
+    assert gone == set(range(1, 300, 2))
+
+
 def test_line_dedup_edges(spark):
     assert L.dedup_lines(spark.createDataFrame([], DOCS)).collect() == []
     line = "the same long line that comes again and again"
