@@ -14,10 +14,11 @@ from riskspark.llm.words import LOWER, as_bytes, mix, spans
 
 SHINGLE = 8        # characters (bytes of the folded line)
 BANDS, ROWS = 8, 3  # a pair at similarity 0.8 shares a band with probability 0.997
-LEAST = 30         # shorter lines are always kept
+LEAST = 1          # shorter lines (bytes), and blank ones, are always kept
 SIMILARITY = 0.8
 #: Lines, and bytes of them, that one task compares all with all; a fuller band is compared in pairs of blocks.
 BLOCK, BLOCK_BYTES = 1024, 1 << 21
+REMEMBERED = 1 << 20    # keys
 
 _RNG = np.random.default_rng(20_240_101)
 _MUL = (_RNG.integers(1, 1 << 31, BANDS * ROWS, dtype=np.uint32) * 2 + 1).astype(np.uint32)
@@ -35,12 +36,12 @@ def _shingle_codes(data: np.ndarray) -> np.ndarray:
 
 
 def signatures(lines: pa.Array) -> np.ndarray:
-    """``BANDS`` 64-bit band values per line of ``LEAST`` bytes or more; other rows are zero."""
+    """``BANDS`` 64-bit band values per line of ``SHINGLE`` bytes or more; other rows are zero."""
     raw, offsets = as_bytes(lines)
     out = np.zeros((len(lines), BANDS), np.uint64)
     for a, b in spans(offsets):
         at = offsets[a: b + 1] - offsets[a]
-        rows = np.flatnonzero(np.diff(at) >= max(LEAST, SHINGLE))
+        rows = np.flatnonzero(np.diff(at) >= SHINGLE)
         if not len(rows):
             continue
         codes = (mix(_shingle_codes(LOWER[raw[offsets[a]: offsets[b]]])) >> np.uint64(32)).astype(np.uint32)
@@ -154,10 +155,10 @@ def _rest(met: DataFrame, label: DataFrame, texts: DataFrame, similarity: float)
     return rows.mapInArrow(join, "a long, b long")
 
 
-def _lines(rows: DataFrame) -> DataFrame:
+def _lines(rows: DataFrame, least: int) -> DataFrame:
     return rows.where("doc_id is not null").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(
-        F.octet_length("line") >= LEAST)
+        (F.octet_length("line") >= least) & F.col("line").rlike("\\S"))
 
 
 #: Lines are known by a 64-bit hash of their folded text: at 10^12 lines, a line meets another's by chance once in 10^7.
@@ -165,12 +166,12 @@ def _keyed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("key", F.xxhash64(F.translate("line", ascii_uppercase, ascii_lowercase)))
 
 
-def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(occurrences, classes): ``(doc_id, pos, key)`` of every line of ``LEAST`` bytes or more, and for each
-    key ``(key, component, keep_doc, keep_pos, n)`` of the lines that repeat.
+def line_classes(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(occurrences, classes): ``(doc_id, pos, key)`` of every line of ``least`` bytes or more that is not
+    blank, and for each key ``(key, component, keep_doc, keep_pos, n)`` of the lines that repeat.
 
     Equal lines (A-Z folded) come together by their key first, so a line that fills a third
-    of the table is one row from there on. Distinct lines that share a band are compared with
+    of the table is one row from there on. Lines under ``SHINGLE`` bytes go no further. Distinct lines that share a band are compared with
     the smallest and the largest key of the band, exactly, by their shingle sets; verified
     pairs are joined to components. Then the other lines of the band are compared with each
     other as far as they lie in different components.
@@ -178,22 +179,31 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
     rows = text_rows(docs)
 
     def sign(batches):
+        # one row of a key carries the values; zero, which other rows have, counts as none
+        seen: set[int] = set()
         for batch in batches:
-            bands = signatures(batch["line"]).astype(np.int64)
+            key, at = np.unique(batch["key"].to_numpy(), return_index=True)
+            at = np.sort(at[[k not in seen for k in key.tolist()]])
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            seen.update(key.tolist())
+            bands = np.zeros((batch.num_rows, BANDS), np.int64)
+            if len(at):
+                bands[at] = signatures(batch["line"].take(pa.array(at))).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["pos"], batch["key"], *(pa.array(bands[:, i]) for i in range(BANDS))],
+                [batch["doc_id"], batch["pos"], batch["key"], *(pa.array(bands[:, i], mask=bands[:, i] == 0) for i in range(BANDS))],
                 names=["doc_id", "pos", "key", *(f"b{i}" for i in range(BANDS))])
 
-    signed = staged(_keyed(_lines(rows)).mapInArrow(
+    signed = staged(_keyed(_lines(rows, least)).mapInArrow(
         sign, "doc_id long, pos int, key long, " + ", ".join(f"b{i} long" for i in range(BANDS))), "lines")
     distinct = signed.groupBy("key").agg(*(F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)))
     # the band's number is part of its value, so the value alone names the meeting place
-    banded = distinct.select("key", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("place")).where("place <> 0")
+    banded = distinct.select("key", F.explode(F.array(*(f"b{i}" for i in range(BANDS)))).alias("place")).where("place is not null")
     ends = banded.groupBy("place").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
     met = staged(banded.join(ends, "place"), "line-met")
     pairs = (met.select(F.col("key").alias("a"), F.explode(F.array("low", "high")).alias("b"))
              .where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    texts = staged(only(_keyed(_lines(rows)), met.select("key").distinct(), "key").groupBy("key").agg(
+    texts = staged(only(_keyed(_lines(rows, least)), met.select("key").distinct(), "key").groupBy("key").agg(
         F.min("line").alias("line")), "line-texts")
 
     def verify(batches):
@@ -218,17 +228,18 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataF
         "key", "component", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.pos").alias("keep_pos"), "n")
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, counts: bool = False, least: int = LEAST) -> DataFrame:
     """Documents whose repeated lines are gone: of each component of near-equal lines the first stays.
 
     Two lines are near-equal when the Jaccard similarity of their 8-byte shingles (A-Z folded) is
-    ``similarity`` or more; first means smallest doc_id, then earliest line. Lines under 30 bytes
-    stay as they are. ``text`` is rewritten, ``n_chars`` too if there is one, other columns stay;
+    ``similarity`` or more, lines under 8 bytes only if they are equal; first means smallest doc_id, then
+    earliest line. Blank lines, and those under ``least`` bytes, stay as they are.
+    ``text`` is rewritten, ``n_chars`` too if there is one, other columns stay;
     with ``counts``, ``n_lines`` and ``n_removed`` follow. Null or empty texts and rows without doc_id
     stay unchanged; rows that share a doc_id keep or lose their lines by position together, so a
     repeated row stays a repeated row; ties and an empty table need no special case.
     """
-    occurrences, classes = line_classes(docs, similarity)
+    occurrences, classes = line_classes(docs, similarity, least)
     gone = occurrences.join(classes, "key").where("doc_id <> keep_doc or pos <> keep_pos").groupBy("doc_id").agg(
         F.collect_set("pos").alias("_gone")).withColumnRenamed("doc_id", "_doc")
     met = docs.join(gone, docs["doc_id"].cast("long") == gone["_doc"], "left")

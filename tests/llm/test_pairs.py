@@ -175,6 +175,14 @@ def test_line_dedup_edges(spark):
     assert got == sorted([(None, line), (4, line), (4, line), (5, "x")], key=str)
 
 
+def test_short_lines_are_deduplicated(spark):
+    rows = [(1, "ok\n\nAll rights reserved.\n \nno"), (2, "OK\n\nall rights reserved.\n \nyes"), (3, "ok\nAll rights reserved\n\r\n\r\né")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DOCS)
+    got = {r["doc_id"]: r["text"] for r in L.dedup_lines(docs).collect()}
+    assert got == {1: rows[0][1], 2: "\n \nyes", 3: "\r\n\r\né"}     # blank lines stay
+    assert {r["doc_id"]: r["text"] for r in L.dedup_lines(docs, least=30).collect()} == dict(rows)
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(200, 201), (201, 202), (202, 200), (7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
