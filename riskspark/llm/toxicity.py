@@ -8,8 +8,8 @@ stands between white space, its letters only, and runs of one or two letters joi
 many of its words are toxic.
 
 Landmarks are words that mark the toxic class and some of the rest. A table of the largest
-landmark entry per triple bounds every similarity from above; only words whose bound reaches
-``LEAST`` are compared with the landmarks one by one, others count as unlike all of them.
+landmark entry per triple bounds every similarity from above; each distinct word is compared with
+the landmarks unless the fitted machine gives no positive value to any similarities up to its bound.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from riskspark.llm.common import staged, text_rows
 from riskspark.llm.labelled import fitted_logistic, labelled_rows, logistic, remainder, training_labels
-from riskspark.llm.words import LOWER, NOT_SPACE, as_bytes, runs, shingle_sets, spans
+from riskspark.llm.words import LOWER, NOT_SPACE, as_bytes, mix, runs, shingle_sets, spans
 
 THRESHOLD = 0.7
 MODULUS, HELD_OUT = 3, 1
@@ -32,7 +32,6 @@ MARKING, OTHERS = 128, 32    # landmarks
 SPAN = 6        # widest triple, in characters
 DECAY = 0.7     # worth of each further character
 POWER = 3
-LEAST = 0.65
 LONGEST = 32    # a longer run of letters is cut
 REMEMBERED = 200_000
 SURE = 0.8      # decision value of a word that is toxic beyond doubt
@@ -130,9 +129,9 @@ class KernelMachine:
                 if n > 0:
                     np.add.at(z[:, j], (((x[:n] << _BITS) | x[a: a + n]) << _BITS) | x[b: b + n], worth)
         self.z = z / np.maximum(np.linalg.norm(z, axis=0), 1e-9)
-        self.bound = self.z[:, :len(marking)].max(1) if marking else np.zeros(_SIZE, np.float32)
+        self.bound = self.z.max(1) if words else np.zeros(_SIZE, np.float32)
         self.alpha, self.bias = np.zeros(len(words)) if alpha is None else alpha, bias
-        self.values: dict[bytes, float] = {}    # decision values of words already met, REMEMBERED at most
+        self.values: dict[bytes, float] = {}    # decision values of words already met, about REMEMBERED at most
 
     def __reduce__(self):
         # what travels to the executors is the landmarks' letters; their tables are built there
@@ -159,29 +158,50 @@ class KernelMachine:
         self.alpha, self.bias, self.values = root @ w[:-1], float(w[-1]), {}
         return self
 
+    def least(self) -> float:
+        """No word whose similarities are all up to this, before the power, has a positive decision value."""
+        most = float(np.maximum(self.alpha, 0).sum())
+        return (max(0.0, -self.bias) / max(most, 1e-9)) ** (1 / POWER) - 1e-3
+
+    def decide(self, words: list[bytes]) -> np.ndarray:
+        """Decision values of words; minus infinity for those that no similarities up to their bound make toxic."""
+        out = np.full(len(words), -np.inf)
+        codes = np.frombuffer(b"\1" + b"".join(w + b"\1" for w in words), np.uint8).astype(np.int32)
+        begin = np.cumsum([1, *(len(w) + 1 for w in words)])
+        near = np.flatnonzero(bounds(codes, begin, self.bound) >= self.least())
+        out[near] = similarities([words[i] for i in near.tolist()], self.z) @ self.alpha + self.bias
+        return out
+
     def worst(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Of each whole text: how many words are toxic, how many beyond doubt, and the worst word."""
         raw, offsets = as_bytes(texts)
-        top, where = np.full(len(texts), -np.inf), [b""] * len(texts)
+        where = [b""] * len(texts)
         hits, sure = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for a, b in spans(offsets, 1 << 19):
             codes, begin, doc = words_of(raw[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
-            near = np.flatnonzero(bounds(codes, begin, self.bound) >= LEAST)
-            if not len(near):
+            if not len(doc):
                 continue
+            # equal words are told by a 64-bit sum over their letters and places
+            place = np.zeros(len(codes), np.uint64)
+            place[begin[0]:] = np.arange(begin[0], len(codes)) - np.repeat(begin[:-1], np.diff(begin))
+            letters = mix((place << np.uint64(_BITS)) + codes.astype(np.uint64))
+            name = np.add.reduceat(letters, begin[:-1])
+            _, first, which = np.unique(name, return_index=True, return_inverse=True)
             small = codes.astype(np.uint8)
-            words = [small[begin[i]: begin[i + 1] - 1].tobytes() for i in near.tolist()]
+            words = [small[begin[i]: begin[i + 1] - 1].tobytes() for i in first.tolist()]
             if len(self.values) > REMEMBERED:
                 self.values.clear()
             value = self.values
-            new = [w for w in dict.fromkeys(words) if w not in value]
-            value.update(zip(new, (similarities(new, self.z) @ self.alpha + self.bias).tolist()))
-            for i, w in zip((a + doc[near]).tolist(), words):
-                v = value[w]
-                hits[i] += v > 0
-                sure[i] += v > SURE
-                if v > top[i]:
-                    top[i], where[i] = v, w
+            new = [w for w in words if w not in value]
+            if new:
+                value.update(zip(new, self.decide(new).tolist()))
+            of = np.array([value[w] for w in words])[which]
+            hits[a: b] += np.bincount(doc[of > 0], minlength=b - a)
+            sure[a: b] += np.bincount(doc[of > SURE], minlength=b - a)
+            order = np.lexsort((np.arange(len(doc)), -of, doc))
+            order = order[np.concatenate(([True], doc[order][1:] != doc[order][:-1]))]
+            for i in order[of[order] > -np.inf].tolist():
+                where[a + doc[i]] = words[which[i]]
         return hits, sure, where
 
 

@@ -84,6 +84,40 @@ def test_kernel_equals_sums_over_triples():
     assert (T.bounds(c, begin, machine.bound) + 1e-4 >= got.max(1) ** (1 / T.POWER)).all()
 
 
+def test_inserted_letters_reach_the_machine():
+    """Texts count as toxic exactly by the decision values of their words, also with one or two letters put in."""
+    insults = ["idiot", "moron", "stupid", "scum", "clown", "loser", "trash"]
+    rng = np.random.default_rng(4)
+
+    def put(w, n):
+        for _ in range(n):
+            i = rng.integers(1, len(w))
+            w = w[:i] + chr(97 + rng.integers(26)) + w[i:]
+        return w
+
+    clean = [T._encoded(w) for w in ("table", "house", "modern", "city", "storage", "studio", "window", "garden")]
+    toxic = [T._encoded(w) for w in insults]
+    more = [T._encoded(put(w, n)) for w in insults for n in (1, 2) for _ in range(10)]
+    machine = T.KernelMachine(toxic, clean).fit(toxic + more + clean, np.array([1] * len(toxic + more) + [0] * len(clean)))
+    for letters in (1, 2):
+        words = [put(w, letters) for w in insults for _ in range(30)]
+        exact = T.similarities([T._encoded(w) for w in words], machine.z) @ machine.alpha + machine.bias
+        assert (exact > 0).mean() > 0.9
+        hits, sure, worst = machine.worst(pa.array([f"table {w} {w} house" for w in words]))
+        assert hits.tolist() == (2 * (exact > 0)).tolist() and sure.tolist() == (2 * (exact > T.SURE)).tolist()
+        assert all(x == T._encoded(w) for x, w, v in zip(worst, words, exact) if v > 0)
+    assert machine.worst(pa.array(["table house city", None, ""]))[0].tolist() == [0, 0, 0]
+
+
+def test_words_that_are_skipped_could_not_be_toxic():
+    rng = np.random.default_rng(0)
+    words = [bytes(rng.integers(2, 28, n).astype(np.uint8)) for n in rng.integers(1, 12, 400)]
+    machine = T.KernelMachine(words[:20], words[20:40]).fit(words[:60], np.repeat([1, 0, 0], 20))
+    exact = T.similarities(words, machine.z) @ machine.alpha + machine.bias
+    got = machine.decide(words)
+    assert ((got > 0) == (exact > 0)).all() and np.allclose(got[got > -np.inf], exact[got > -np.inf], atol=1e-5)
+
+
 def test_words_join_over_gaps():
     raw = np.frombuffer("An id-iot: i d i o t! end".encode(), np.uint8)
     codes, begin, _ = T.words_of(raw, np.array([0, len(raw)]))
