@@ -22,8 +22,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document that had text and has none left goes with them."""
-    return linededup.dedup_lines(docs).where("text is null or text rlike '\\\\S'")
+    """Repeated lines go; a document that lost lines and has no text left goes with them."""
+    out = linededup.dedup_lines(docs, counts=True)
+    return out.where("text is null or n_removed = 0 or text rlike '\\\\S'").select(docs.columns)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,11 @@ def test_pipeline_of_nothing(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         read_table(spark, at, name).limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert C.run(spark, str(tmp_path)).collect() == []
+
+
+def test_line_stage_drops_only_documents_that_lost_their_lines(spark):
+    rows = [(1, "one line", "en", "s", 8), (2, "one line", "en", "s", 8), (3, "", "en", "s", 0), (4, " \n", "en", "s", 2), (5, None, "en", "s", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = C.line_stage(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3, 4, 5]
