@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskspark.llm import ann, chat, decontam, html, jaccard, linededup, packing, quality, toxicity, urls
+from riskspark.llm import (ann, bestfit, chat, decontam, html, jaccard, linededup, merkle, packing, quality, resample,
+                           toxicity, urls)
 from riskspark.sources.files import read_table
 
 QUERIES: dict = {}
@@ -70,7 +71,24 @@ def op2_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judged_urls(read_table(spark, folder, "pages"), read_table(spark, folder, "labels"))
 
 
+@query
+def op11_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resampled(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+
+
+@query
+def op12_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest_rows(read_table(spark, folder, "documents"))
+
+
+@query
+def op13_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    return bestfit.best_fit_packed(read_table(spark, folder, "documents"), with_ids=False)
+
+
 SQL["op5_chat"] = chat.SQL
+SQL["op11_resample"] = resample.SQL
+SQL["op12_manifest"] = merkle.SQL
 
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
