@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
-from functools import reduce
-from itertools import product
+from functools import cached_property, partial, reduce
 
 from pyspark import StorageLevel
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
@@ -17,6 +16,7 @@ from riskspark.functions.columns import ident, number, squeeze
 from riskspark.operators import balance as B, evaluate as V, models as M, split as S
 from riskspark.operators.models import FEATURES, KEY, LABEL, WEIGHT
 from riskspark.plans.risk import RiskModel
+from riskspark.plans.search import FoldSearch
 from riskspark.plans.selection import encode_categories, select_features
 from riskspark.operators.profile import tagged_union
 from riskspark.spec import Bundle, FeatureSpec
@@ -51,10 +51,16 @@ class SuiteResult:
     threshold: float | None
     model: PipelineModel | None
     feature_order: list[str]
-    coefficients: DataFrame | None
+    importance: Callable[[], DataFrame] | None
     confusion: dict[str, DataFrame]
     residuals: dict[str, DataFrame]
     spec: FeatureSpec
+    skipped: dict[str, str] = field(default_factory=dict)
+
+    @cached_property
+    def coefficients(self) -> DataFrame | None:
+        """Coefficients or importances of the best model, worked out when they are asked for."""
+        return self.importance() if self.importance else None
 
     def risk_model(self, encoder=None) -> RiskModel:
         """``encoder`` holds the levels of the training rows. A feature that is null for a row makes its risk null."""
@@ -117,54 +123,12 @@ class _Split:
             held.unpersist()
 
 
-def grid_points(grid: Mapping[str, list]) -> list[dict]:
-    return [dict(zip(grid, values)) for values in product(*grid.values())] if grid else [{}]
-
-
 def slim(pred: DataFrame, kind: str) -> DataFrame:
     """The columns metrics read, kept once: they are scored several times."""
     pred = M.with_score(pred) if kind == "binary" else pred.withColumn("score", F.col("prediction"))
     return pred.select(KEY, LABEL, "prediction", "score").persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def search(entry: M.ModelEntry, grid: Mapping[str, list], splits: list[_Split], kind: str,
-           parallelism: int) -> tuple[dict, list[DataFrame]]:
-    """Best point by mean recall (binary) or mean squared error (continuous) over the folds.
-
-    The held-out predictions of the best point come with it, so nothing is fitted twice.
-    """
-    points = grid_points(grid)
-
-    def one(job):
-        params, split = job
-        pred = slim(split.fit(entry, params)[0], kind)
-        if kind == "binary":
-            return V.classification_metrics(pred, LABEL, "prediction").first()["Recall"], pred
-        return -(V.regression_metrics(pred, LABEL, "prediction").first()["RMSE"] ** 2), pred
-
-    jobs = [(p, s) for p in points for s in splits]
-    for s in splits:
-        s.get(entry.scaled)  # shared vectors are built before the threads start
-    with ThreadPoolExecutor(parallelism) as pool:
-        scores = list(pool.map(one, jobs))
-    k = len(splits)
-    by_point = [scores[i * k:(i + 1) * k] for i in range(len(points))]
-    best = max(range(len(points)), key=lambda i: sum(score for score, _ in by_point[i]))
-    for i, results in enumerate(by_point):
-        if i != best:
-            for _, pred in results:
-                pred.unpersist()
-    return points[best], [pred for _, pred in by_point[best]]
-
-
-def out_of_fold_scores(held: list[DataFrame]) -> DataFrame:
-    out = None
-    for pred in held:
-        part = pred.select(KEY, LABEL, "score")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def run_suite(bundle: Bundle, key: str, options: SuiteOptions = SuiteOptions()) -> SuiteResult:
     """Search every registered model for the target's kind and keep the best one, refit on all rows."""
     spec, kind = bundle.spec, bundle.spec["target"]
@@ -178,6 +142,8 @@ def run_suite(bundle: Bundle, key: str, options: SuiteOptions = SuiteOptions())
         print("no feature is left to model on")
         return nothing
     registry = M.CLASSIFIERS if kind == "binary" else M.REGRESSORS
+    if options.drop_null_targets:
+        bundle = bundle._replace(df=bundle.df.filter(number(ident("target")).isNotNull()))
     rows, _ = prepare_rows(bundle, key)
     if kind == "binary":
         rows = rows.withColumn("_stratum", F.col(LABEL).cast("int"))
@@ -190,6 +156,7 @@ def run_suite(bundle: Bundle, key: str, options: SuiteOptions = SuiteOptions())
     folds = folds.persist(StorageLevel.MEMORY_AND_DISK)
     splits = [_Split(folds.filter(F.col("fold") != f), folds.filter(F.col("fold") == f), spec, options) for f in range(options.folds)]
     final = _Split(train, rows.filter("is_test"), spec, options)
+    search = FoldSearch(folds, splits, spec, kind, options.balancing, options.scaling, options.parallelism)
     board, confusion, residuals, skipped = [], {}, {}, {}
     thresholds, chosen = {}, {}
     try:
@@ -198,55 +165,54 @@ def run_suite(bundle: Bundle, key: str, options: SuiteOptions = SuiteOptions())
                 continue
             grid = options.grids.get(name, entry.grid)
             try:
-                params, held = search(entry, grid, splits, kind, options.parallelism)
-                if options.refine and grid:
-                    params, held = search(entry, M.refined_grid(params), splits, kind, options.parallelism)
+                params, scores = search.best(entry, grid, options.refine)
                 pred = slim(final.fit(entry, params)[0], kind)
                 text = json.dumps(params)
                 if kind == "binary":
-                    cut = V.best_threshold(V.threshold_curve(out_of_fold_scores(held), LABEL, "score"))
-                    pred = pred.withColumn("called", (F.col("score") >= cut).cast("int"))
-                    m = V.classification_metrics(pred, LABEL, "called").first()
+                    cut = V.best_threshold(V.threshold_curve(scores.persist(StorageLevel.MEMORY_AND_DISK), LABEL, "score"))
+                    scores.unpersist()
+                    called = pred.withColumn("called", (F.col("score") >= cut).cast("int"))
+                    m = V.classification_metrics(called, LABEL, "called").first()
                     auc = V.roc_auc(pred, LABEL, "score").first()[0]
                     board.append((name, m["Accuracy"], m["Precision"], m["Recall"], m["F1"], auc, None, None, None, text, cut))
-                    confusion[name] = V.confusion(pred.withColumn("y", F.col(LABEL).cast("int")), "y", "called", [0, 1])
+                    confusion[name] = V.confusion(called.withColumn("y", F.col(LABEL).cast("int")), "y", "called", [0, 1])
                     thresholds[name] = cut
                 else:
                     m = V.regression_metrics(pred, LABEL, "prediction").first()
                     board.append((name, None, None, None, None, None, m["RMSE"], m["MAE"], m["R2"], text, None))
                     residuals[name] = V.residual_table(pred, LABEL, "prediction", [KEY])
                 chosen[name] = params
-                for p in held:
-                    p.unpersist()
-            except Exception as err:  # a failing model leaves the others in the race
+            except (ValueError, ArithmeticError, IllegalArgumentException) as err:
+                # data a model cannot take leaves the others in the race; anything else is a failure of the job
                 skipped[name] = str(err).splitlines()[0] if str(err) else type(err).__name__
-                print(f"skipped {name}: {skipped[name]}")
         if not board:
-            return nothing
+            return replace(nothing, skipped=skipped)
         best = max(board, key=lambda r: r[4])[0] if kind == "binary" else min(board, key=lambda r: r[6])[0]
         everything = _Split(rows, rows.limit(0), spec, options)
         _, model, order = everything.fit(registry[best], chosen[best])
-        coefs = coefficients(best, model, order, rows, kind, spark)
         everything.release()
+        importance = partial(coefficients, best, model, order, rows, kind, spark)
     finally:
-        for s in splits:
-            s.release()
+        search.release()
+        final.release()
+        folds.unpersist()
+        rows.unpersist()
     table = spark.createDataFrame(board, LEADERBOARD)
     table = table.orderBy(F.desc("F1")) if kind == "binary" else table.orderBy("RMSE")
-    return SuiteResult(table, best, chosen[best], thresholds.get(best), model, order, coefs, confusion, residuals, spec)
+    return SuiteResult(table, best, chosen[best], thresholds.get(best), model, order, importance, confusion, residuals, spec, skipped)
 
 
 def coefficients(name: str, model: PipelineModel, order: list[str], rows: DataFrame, kind: str, spark) -> DataFrame:
     """Coefficients or importances named by the vector's own column order (sign kept)."""
     values = None
     for stage in model.stages:
-        size = getattr(stage, "numFeatures", None)
-        if size != len(order):
-            continue
+        reads = next((p for p in ("featuresCol", "inputCol") if stage.hasParam(p)), None)
+        if reads is None or stage.getOrDefault(reads) != FEATURES:
+            continue        # weights of kernel features are not those of columns
         found = getattr(stage, "coefficients", None)
         found = getattr(stage, "featureImportances", None) if found is None else found
         if found is not None:
-            values = found.toArray()
+            values = found.toArray() if hasattr(found, "toArray") else found
             break
     if values is None:
         return permutation_importance(model, rows, order, kind).select(

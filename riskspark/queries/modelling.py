@@ -294,19 +294,6 @@ def _doc_bundle(t: Tables, kind: str = "binary"):
     return Bundle(rows.select("doc_id", "word_length", "toxic", "quality", "lang", (F.col("n_chars") / high).alias("target")), spec)
 
 
-_SMALL_GRIDS = {"Logistic Regression (Ridge)": {"C": [0.1, 1.0]}, "Logistic Regression (Lasso)": {"C": [1.0]},
-                "Random Forest Classifier": {"n_estimators": [20], "max_depth": [5]}, "SVM (Linear)": {"C": [1.0]},
-                "SVM (RBF)": {"C": [1.0], "gamma": ["scale"]}, "k-NN Classifier": {"n_neighbors": [5]},
-                "Ridge Regression": {"alpha": [1.0]}, "Lasso Regression": {"alpha": [0.001]}, "Kernel Ridge": {"alpha": [1.0]},
-                "Random Forest Regressor": {"n_estimators": [20], "max_depth": [5]},
-                "SVR (RBF)": {"C": [1.0], "gamma": ["scale"]}, "k-NN Regressor": {"n_neighbors": [5]}}
-
-
-def _options(**kw):
-    from riskspark.plans.supervised import SuiteOptions
-    return SuiteOptions(folds=2, refine=False, grids=_SMALL_GRIDS, **kw)
-
-
 @query("feature_selection")
 def feature_selection(t: Tables):
     from riskspark.plans.selection import select_features
@@ -317,23 +304,24 @@ def feature_selection(t: Tables):
 
 @query("classifier_suite")
 def classifier_suite(t: Tables):
+    """All six classifiers: whole grids, five folds, selection, refinement, thresholds."""
     from riskspark.plans.supervised import model_target
-    return model_target(_doc_bundle(t), "doc_id", _options(selection=False, models=(
-        "Logistic Regression (Ridge)", "Logistic Regression (Lasso)", "Random Forest Classifier")))[0].leaderboard
+    return model_target(_doc_bundle(t), "doc_id")[0].leaderboard
 
 
 @query("margin_and_neighbour_suite")
 def margin_and_neighbour_suite(t: Tables):
-    from riskspark.plans.supervised import model_target
-    return model_target(_doc_bundle(t), "doc_id", _options(selection=False, models=(
-        "SVM (Linear)", "k-NN Classifier")))[0].leaderboard
+    """Whole grids without selection, on oversampled classes."""
+    from riskspark.plans.supervised import SuiteOptions, model_target
+    return model_target(_doc_bundle(t), "doc_id", SuiteOptions(selection=False, balancing="oversample", models=(
+        "SVM (Linear)", "SVM (RBF)", "k-NN Classifier")))[0].leaderboard
 
 
 @query("regressor_suite")
 def regressor_suite(t: Tables):
+    """All seven regressors: whole grids, five folds, selection, refinement."""
     from riskspark.plans.supervised import model_target
-    return model_target(_doc_bundle(t, "continuous"), "doc_id", _options(selection=False, models=(
-        "Linear Regression", "Ridge Regression", "Lasso Regression", "Random Forest Regressor")))[0].leaderboard
+    return model_target(_doc_bundle(t, "continuous"), "doc_id")[0].leaderboard
 
 
 @query("logistic_search")
@@ -357,7 +345,7 @@ def _fitted(t: Tables, kind: str, name: str, params: dict):
     b, _ = P.encode_categories(_doc_bundle(t, kind))
     rows, _ = P.prepare_rows(b, "doc_id")
     registry = P.M.CLASSIFIERS if kind == "binary" else P.M.REGRESSORS
-    pred, _, _ = P._Split(rows, rows, b.spec, _options()).fit(registry[name], params)
+    pred, _, _ = P._Split(rows, rows, b.spec, P.SuiteOptions()).fit(registry[name], params)
     if kind == "binary":
         return P.M.with_score(pred).select(F.col("_key").alias("doc_id"), "score")
     return pred.select(F.col("_key").alias("doc_id"), "prediction")
@@ -385,9 +373,9 @@ def knn_regressor_scores(t: Tables):
 
 @query("ablation_matrix")
 def ablation_matrix(t: Tables):
+    """Every ablation setting with every classifier, five folds."""
     from riskspark.plans.supervised import run_ablations
-    settings = {"no selection": dict(selection=False), "no selection, no one-hot": dict(selection=False, one_hot=False)}
-    return run_ablations(_doc_bundle(t), "doc_id", _options(models=("Logistic Regression (Ridge)",)), settings)
+    return run_ablations(_doc_bundle(t), "doc_id")
 
 
 @query("permutation_importance")
@@ -395,7 +383,7 @@ def permutation_importance(t: Tables):
     from riskspark.plans import supervised as P
     b, _ = P.encode_categories(_doc_bundle(t))
     rows, _ = P.prepare_rows(b, "doc_id")
-    split = P._Split(rows, rows, b.spec, _options())
+    split = P._Split(rows, rows, b.spec, P.SuiteOptions())
     _, model, order = split.fit(P.M.CLASSIFIERS["Logistic Regression (Ridge)"], {"C": 1.0})
     return P.permutation_importance(model, rows, order, "binary")
 
