@@ -126,6 +126,12 @@ def kmeans_sweep(df: DataFrame, features: Sequence[str], key: str, ks: Sequence[
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, silhouette_squared double")
 
 
+def kmeans_labels(df: DataFrame, features: Sequence[str], k: int, *, seed: int = 42, name: str = "cluster") -> DataFrame:
+    """Rows with the number of their k-means cluster on the features as they are."""
+    vec = assemble(df, features)
+    return KMeans(k=k, seed=seed, predictionCol=name).fit(vec.select("features")).transform(vec).drop("features")
+
+
 def mixture_scores(log_likelihood: float, k: int, d: int, n: int) -> tuple[float, float]:
     """BIC and AIC of a full-covariance mixture."""
     free = k - 1 + k * d + k * d * (d + 1) / 2

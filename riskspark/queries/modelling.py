@@ -414,20 +414,30 @@ def component_regression(t: Tables):
     return regress_components(rows, [f"d{i}" for i in range(8)], [f"d{i}" for i in range(8, 12)], "vec_id")
 
 
+def _half_views(t: Tables):
+    """The two halves of the vectors as views, each with its own clusters."""
+    from riskspark.operators import clustering as C
+    x, y = [f"d{i}" for i in range(32)], [f"d{i}" for i in range(32, 64)]
+    rows = component(t.embeddings.select("vec_id", "embedding"), "embedding", range(64), "d").drop("embedding").persist()
+    for name, view in (("cx", x), ("cy", y)):
+        rows = C.kmeans_labels(rows, view, 4, name=name).persist()
+    return rows, x, y
+
+
 @query("cluster_prediction")
 def cluster_prediction(t: Tables):
-    from riskspark.plans.unsupervised import predict_clusters
-    rows = component(t.embeddings.select("vec_id", "label", "embedding"), "embedding", range(8), "d").drop("embedding")
-    return predict_clusters(rows, [f"d{i}" for i in range(8)], "vec_id", "label", folds=2,
-                            models=("LogReg (L2)", "RandomForest"), trees=20, depth=8)[0]
+    """All four models, five folds, both directions, 400 trees and 300 rounds."""
+    from riskspark.plans.unsupervised import both_directions
+    rows, x, y = _half_views(t)
+    return both_directions(rows, x, y, "vec_id", "cx", "cy")
 
 
 @query("boosted_trees")
 def boosted_trees(t: Tables):
-    from riskspark.plans.unsupervised import predict_clusters
-    rows = component(t.embeddings.select("vec_id", (F.col("label") % 3).alias("label"), "embedding"), "embedding", range(8), "d").drop("embedding")
-    return predict_clusters(rows, [f"d{i}" for i in range(8)], "vec_id", "label", folds=2,
-                            models=("Boosted + SMOTE",), rounds=5)[1]
+    """The 18 points of the boosting grid, 300 rounds, five folds, on the true labels."""
+    from riskspark.plans.unsupervised import boosted_grid
+    rows = component(t.embeddings.select("vec_id", "label", "embedding"), "embedding", range(64), "d").drop("embedding")
+    return boosted_grid(rows, [f"d{i}" for i in range(64)], "vec_id", "label")[0]
 
 
 @query("knn_vote_replicated", """
