@@ -26,9 +26,10 @@ _OUT_WORDS = re.compile(
     r"newsletter|subscri\w+|signup|login|shar(?:e|ing)\w*|social\w*|sidebar\w*|widgets?|menus?|nav|navbar|navigation|"
     r"breadcrumbs?|pagination|pager|footer\w*|header|masthead|comments?|commentlist|disqus\w*|replies|respond|related\w*|"
     r"recommend\w*|toolbar|hidden|alerts?|forms?)(?=$|[\s_-])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|"
-                    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_UNTIL = re.compile(r"[\"'>]")
+#: Attributes one after the other, so that names inside values are none.
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 #: A sibling of the best container stays with this share of its points.
 SIBLING = 0.2
@@ -48,8 +49,12 @@ class _Node:
 def _marks(attributes: str) -> tuple[bool, bool]:
     """(marked as no article by a class or id name, out for certain)."""
     soft = hard = False
+    seen = set()
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
+        if name in seen:        # the first one counts
+            continue
+        seen.add(name)
         if name in ("class", "id"):
             soft = soft or bool(_OUT_WORDS.search(re.sub(r"([a-z])([A-Z])", r"\1-\2", value)))
         elif name == "role":
@@ -58,11 +63,67 @@ def _marks(attributes: str) -> tuple[bool, bool]:
             hard = True
         elif name == "aria-hidden":
             hard = hard or value.lower() == "true"
-        else:
+        elif name == "style":
             hard = hard or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
     return soft, hard
 
 
+def _tokens(page: str):
+    """(text before, closing slash, element name, attributes, end) of each tag, comments being tags without a name.
+
+    Every search goes on where the last one ended; what no later character can close (an open comment, section or
+    quote) is looked for once, so broken pages are read in one go, too.
+    """
+    at, n, begin, quoted, sections = 0, len(page), 0, True, True
+    while True:
+        start = page.find("<", at)
+        if start < 0 or start + 1 >= n:
+            yield page[begin:], "", "", "", n
+            return
+        name = _NAME.match(page, start + 1)
+        if name:
+            stop = name.end()
+            while quoted:
+                mark = _UNTIL.search(page, stop)
+                if mark is None:
+                    quoted = False      # no tag from here on ends outside a quote
+                    break
+                stop = mark.end()
+                if mark[0] == ">":
+                    break
+                stop = page.find(mark[0], stop) + 1
+                if not stop:
+                    quoted = False
+                    break
+            if not quoted:
+                stop = page.find(">", name.end()) + 1
+            if not stop:                # nothing closes it: text
+                at = start + 1
+                if page.find(">", at) < 0:
+                    yield page[begin:], "", "", "", n
+                    return
+                continue
+            begin, at = yield page[begin:start], name[1], name[2], page[name.end(): stop - 1], stop
+            continue
+        if page.startswith("<!--", start):
+            stop = page.find("-->", start + 4)
+            stop = n if stop < 0 else stop + 3
+        elif page[start + 1] in "!?":
+            stop = 0
+            if sections and page.startswith("<![CDATA[", start):
+                stop = page.find("]]>", start) + 3
+                if stop == 2:
+                    sections, stop = False, 0
+            stop = stop or page.find(">", start) + 1
+            if not stop:
+                yield page[begin:], "", "", "", n
+                return
+        else:
+            at = start + 1
+            continue
+        begin, at = yield page[begin:start], "", "", "", stop
+
+
 def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
     """All elements in page order, and the text blocks: (innermost block element, text, characters in links)."""
     root = _Node("body", None, False, False)
@@ -108,15 +169,13 @@ def _parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
                 return 0
         return 0
 
-    at, n = 0, len(page)
-    while at < n:
-        found = _TOKEN.search(page, at)
-        if not found:
-            words(page[at:])
+    n, tokens, at = len(page), _tokens(page), None
+    while True:
+        try:
+            before, end, name, attributes, at = tokens.send(None if at is None else (at, at))
+        except StopIteration:
             break
-        words(page[at: found.start()])
-        at = found.end()
-        end, name, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+        words(before)
         if not name:
             continue
         tag = name.lower()
