@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import gc
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from riskspark.session import new_shared_path
 
@@ -36,6 +38,24 @@ def _sized(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if few else keys.hint("shuffle_merge")
 
 
+def released(spark: SparkSession) -> None:
+    """Give back what earlier stages left on the driver: broadcasts, shuffles and plans nothing refers to any more.
+
+    Spark frees them when the collector finds them; between stages of a long job that may be never.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Just the key as long and the text as string, whatever else the table holds."""
     return docs.select(docs[key].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name no column of ``docs`` has."""
+    taken = {c.lower() for c in docs.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -9,13 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskspark.llm.common import text_rows
+from riskspark.llm.common import fresh, staged, text_rows
 from riskspark.llm.words import ALNUM, as_bytes, run_of, runs, window_hashes
 
 WINDOW = 10
 BITS = 20       # of a hash that the first look-up reads
-#: Most benchmark bytes sent to executors at once; a larger benchmark is scanned in parts of this size.
-PART_BYTES = 32 << 20
+#: Most bytes of benchmark text sent to executors at once; a larger benchmark is scanned in parts of this size. The look-up
+#: tables take about 130 bytes in each process for a byte of text.
+PART_BYTES = 2 << 20
 
 RESULT = ("doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, "
           "hit_starts array<long>, hit_ends array<long>")
@@ -97,11 +98,12 @@ def _parts(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, str]]]:
     held, size = [], 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where(
             "item_id is not null and text is not null").distinct().toLocalIterator():
-        if held and size + len(text) > most:
+        n = len(text.encode())
+        if held and size + n > most:
             yield held
             held, size = [], 0
         held.append((item, text))
-        size += len(text)
+        size += n
     yield held
 
 
@@ -148,13 +150,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     return _in_parts(rows, [part, more], parts, size)
 
 
-def _in_parts(rows: DataFrame, begun, parts, size) -> DataFrame:
-    """The same verdicts for a benchmark beyond one broadcast: one scan for each part, spans united."""
-    from riskspark.llm.common import staged
+def _keys(doc_id, text) -> list:
+    """Two hashes that tell (doc_id, text) pairs apart: rows that repeat both share their verdict."""
+    return [F.xxhash64(doc_id, text), F.xxhash64(F.lit(7), text, doc_id)]
+
 
-    spark = rows.sparkSession
-    # one key per distinct (doc_id, text): repeated rows share their verdict
-    keyed = rows.withColumns({"k1": F.xxhash64("doc_id", "text"), "k2": F.xxhash64(F.lit(7), "text", "doc_id")})
+def _hits(keyed: DataFrame, begun, parts, size) -> DataFrame:
+    """``k1, k2, i, j, item`` of every hit: one scan for each part of the benchmark."""
+    spark = keyed.sparkSession
 
     def found(part):
         shared = spark.sparkContext.broadcast(Windows(part, size))
@@ -176,7 +179,13 @@ def _in_parts(rows: DataFrame, begun, parts, size) -> DataFrame:
     for part in [*begun, *parts]:
         got = found(part)
         hits = got if hits is None else hits.unionByName(got)
-    united = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("i", "j")).alias("spans"),
+    return hits
+
+
+def _in_parts(rows: DataFrame, begun, parts, size) -> DataFrame:
+    """The same verdicts for a benchmark beyond one broadcast: the spans of all parts united."""
+    keyed = rows.withColumns(dict(zip(("k1", "k2"), _keys(F.col("doc_id"), F.col("text")))))
+    united = _hits(keyed, begun, parts, size).groupBy("k1", "k2").agg(F.collect_set(F.struct("i", "j")).alias("spans"),
                                           F.collect_set("item").alias("items"))
 
     def judge(batches):
@@ -198,14 +207,16 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WIND
     """Documents no window of the benchmark occurs in, with their own columns.
 
     A benchmark within one broadcast is judged where the row is read, without a shuffle; a
-    larger one by an anti-join with the verdicts. Rows of null text stay.
+    larger one by an anti-join on doc_id and text; both keep the same rows. Rows of null text stay.
     """
     parts = _parts(benchmark, part_bytes)
     part, more = next(parts), next(parts, None)
     if more is not None:
-        bad = contamination(docs, benchmark, size, part_bytes).where("contaminated").select(
-            F.col("doc_id").alias("_bad")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+        names = [fresh(docs, "k1"), fresh(docs, "k2")]
+        keyed = text_rows(docs).withColumns(dict(zip(("k1", "k2"), _keys(F.col("doc_id"), F.col("text")))))
+        bad = _hits(keyed, [part, more], parts, size).select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1])).distinct()
+        own = _keys(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+        return docs.join(bad, (own[0] == bad[names[0]]) & (own[1] == bad[names[1]]), "left_anti")
     shared = docs.sparkSession.sparkContext.broadcast(Windows(part, size))
     at = docs.columns.index("text")
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from riskspark.llm.common import only, staged, text_rows
+from riskspark.llm.common import fresh, only, staged, text_rows
 from riskspark.llm.graph import components
 from riskspark.llm.words import LOWER, as_bytes, mix, spans
 
@@ -228,29 +228,31 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, least: int = L
         "key", "component", F.col("keep.doc_id").alias("keep_doc"), F.col("keep.pos").alias("keep_pos"), "n")
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, counts: bool = False, least: int = LEAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, counts: bool | tuple[str, str] = False, least: int = LEAST) -> DataFrame:
     """Documents whose repeated lines are gone: of each component of near-equal lines the first stays.
 
     Two lines are near-equal when the Jaccard similarity of their 8-byte shingles (A-Z folded) is
     ``similarity`` or more, lines under 8 bytes only if they are equal; first means smallest doc_id, then
     earliest line. Blank lines, and those under ``least`` bytes, stay as they are.
-    ``text`` is rewritten, ``n_chars`` too if there is one, other columns stay;
-    with ``counts``, ``n_lines`` and ``n_removed`` follow. Null or empty texts and rows without doc_id
-    stay unchanged; rows that share a doc_id keep or lose their lines by position together, so a
-    repeated row stays a repeated row; ties and an empty table need no special case.
+    ``text`` is rewritten, ``n_chars`` too if there is one, other columns stay, whatever their names;
+    with ``counts``, ``n_lines`` and ``n_removed`` (or the two names given) follow, in place of columns called so. Null or
+    empty texts and rows without doc_id stay unchanged; rows that share a doc_id keep or lose their lines by
+    position together, so a repeated row stays a repeated row; ties and an empty table need no special case.
     """
     occurrences, classes = line_classes(docs, similarity, least)
+    gone_name, doc_name = fresh(docs, "gone"), fresh(docs, "gone_doc")
     gone = occurrences.join(classes, "key").where("doc_id <> keep_doc or pos <> keep_pos").groupBy("doc_id").agg(
-        F.collect_set("pos").alias("_gone")).withColumnRenamed("doc_id", "_doc")
-    met = docs.join(gone, docs["doc_id"].cast("long") == gone["_doc"], "left")
+        F.collect_set("pos").alias(gone_name)).withColumnRenamed("doc_id", doc_name)
+    met = docs.join(gone, docs["doc_id"].cast("long") == gone[doc_name], "left")
     lines = F.split(docs["text"], "\n")
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(F.array_join(
-        F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+    text = F.when(F.col(gone_name).isNull(), docs["text"]).otherwise(F.array_join(
+        F.filter(lines, lambda x, i: ~F.array_contains(gone_name, i)), "\n"))
     columns = {"text": text}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.char_length(text).cast(docs.schema["n_chars"].dataType)
-    out = [columns[c].alias(c) if c in columns else docs[c] for c in docs.columns]
-    if counts:
-        out += [F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
-                F.when(docs["text"].isNull(), 0).otherwise(F.coalesce(F.size("_gone"), F.lit(0))).alias("n_removed")]
+    named = () if not counts else ("n_lines", "n_removed") if counts is True else counts
+    out = [columns[c].alias(c) if c in columns else docs[c] for c in docs.columns if c not in named]
+    if named:
+        out += [F.coalesce(F.size(lines), F.lit(0)).alias(named[0]),
+                F.when(docs["text"].isNull(), 0).otherwise(F.coalesce(F.size(gone_name), F.lit(0))).alias(named[1])]
     return met.select(*out)
