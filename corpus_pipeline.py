@@ -5,14 +5,14 @@ from __future__ import annotations
 import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _ROOT = str(Path(__file__).resolve().parent)
 if _ROOT not in sys.path:
     sys.path.insert(0, _ROOT)
 
 from riskspark.llm import decontam, jaccard, linededup, packing, quality  # noqa: E402
-from riskspark.llm.common import staged  # noqa: E402
+from riskspark.llm.common import fresh, released, staged  # noqa: E402
 from riskspark.sources.files import read_table  # noqa: E402
 
 
@@ -23,22 +23,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document that lost lines and has no text left goes with them."""
-    out = linededup.dedup_lines(docs, counts=True)
-    return out.where("text is null or n_removed = 0 or text rlike '\\\\S'").select(docs.columns)
+    released(spark)
+    lost = fresh(docs, "lost")
+    out = linededup.dedup_lines(docs, counts=(fresh(docs, "had"), lost))
+    return out.where(F.col("text").isNull() | (F.col(lost) == 0) | F.col("text").rlike("\\S")).select(docs.columns)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies."""
+    released(spark)
     return jaccard.one_per_component(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
+    released(spark)
     return decontam.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of token ids, one row per piece."""
+    released(spark)
     return packing.packed(docs)
 
 
