@@ -26,8 +26,12 @@ class Windows:
     """The n-grams of some test items by hash, with their words for verification."""
 
     def __init__(self, items: list[tuple[str, str]], size: int):
-        self.size, by = size, {}
-        for item, text in items:
+        self.size, self.items = size, items
+        self._build()
+
+    def _build(self):
+        size, by = self.size, {}
+        for item, text in self.items:
             raw = np.frombuffer(text.encode(), np.uint8)
             run = run_of(raw, np.array([0, len(raw)]), ALNUM)
             n = len(run.hashes)
@@ -42,12 +46,12 @@ class Windows:
         self._index()
 
     def __getstate__(self):
-        # the look-up tables are made anew where the windows arrive
-        return self.size, self.by
+        # the items travel, many times smaller than the windows, which are made anew where they arrive
+        return self.size, self.items
 
     def __setstate__(self, state):
-        self.size, self.by = state
-        self._index()
+        self.size, self.items = state
+        self._build()
 
     def _index(self):
         by = self.by
