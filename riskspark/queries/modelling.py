@@ -414,11 +414,11 @@ def component_regression(t: Tables):
     return regress_components(rows, [f"d{i}" for i in range(8)], [f"d{i}" for i in range(8, 12)], "vec_id")
 
 
-def _half_views(t: Tables):
-    """The two halves of the vectors as views, each with its own clusters."""
+def _two_views(t: Tables):
+    """Dimensions 0-7 stand for environment, 8-20 for morphology, each with its own clusters."""
     from riskspark.operators import clustering as C
-    x, y = [f"d{i}" for i in range(32)], [f"d{i}" for i in range(32, 64)]
-    rows = component(t.embeddings.select("vec_id", "embedding"), "embedding", range(64), "d").drop("embedding").persist()
+    x, y = [f"d{i}" for i in range(8)], [f"d{i}" for i in range(8, 21)]
+    rows = component(t.embeddings.select("vec_id", "label", "embedding"), "embedding", range(21), "d").drop("embedding").persist()
     for name, view in (("cx", x), ("cy", y)):
         rows = C.kmeans_labels(rows, view, 4, name=name).persist()
     return rows, x, y
@@ -428,16 +428,16 @@ def _half_views(t: Tables):
 def cluster_prediction(t: Tables):
     """All four models, five folds, both directions, 400 trees and 300 rounds."""
     from riskspark.plans.unsupervised import both_directions
-    rows, x, y = _half_views(t)
+    rows, x, y = _two_views(t)
     return both_directions(rows, x, y, "vec_id", "cx", "cy")
 
 
 @query("boosted_trees")
 def boosted_trees(t: Tables):
-    """The 18 points of the boosting grid, 300 rounds, five folds, on the true labels."""
+    """The 18 points of the boosting grid, 300 rounds, five folds: the true labels from the environment view."""
     from riskspark.plans.unsupervised import boosted_grid
-    rows = component(t.embeddings.select("vec_id", "label", "embedding"), "embedding", range(64), "d").drop("embedding")
-    return boosted_grid(rows, [f"d{i}" for i in range(64)], "vec_id", "label")[0]
+    rows, x, _ = _two_views(t)
+    return boosted_grid(rows, x, "vec_id", "label")[0]
 
 
 @query("knn_vote_replicated", """
