@@ -414,6 +414,14 @@ def component_regression(t: Tables):
     return regress_components(rows, [f"d{i}" for i in range(8)], [f"d{i}" for i in range(8, 12)], "vec_id")
 
 
+@query("component_models")
+def component_models(t: Tables):
+    """Ridge and a forest of 400 trees on the components of the other view, five folds."""
+    from riskspark.plans.unsupervised import compare_component_models
+    rows = component(t.embeddings.select("vec_id", "embedding"), "embedding", range(21), "d").drop("embedding")
+    return compare_component_models(rows, [f"d{i}" for i in range(8)], [f"d{i}" for i in range(8, 21)], "vec_id")
+
+
 def _two_views(t: Tables):
     """Dimensions 0-7 stand for environment, 8-20 for morphology, each with its own clusters."""
     from riskspark.operators import clustering as C
