@@ -7,8 +7,9 @@ stands between white space, its letters only, and runs of one or two letters joi
 "id-iot" and "i d i o t" are one word each. A text's score comes from how
 many of its words are toxic.
 
-Landmarks are words that mark the toxic class and some of the rest. A table of the largest
-landmark entry per triple bounds every similarity from above; each distinct word is compared with
+The machine is trained on labelled sentences as bags of words (Andrews et al. 2003, "MI-SVM"): a toxic sentence stands for
+its most telling word, its witness, a clean one for the word the machine finds worst. Landmarks are the witnesses and some words
+of the rest. A table of the largest landmark entry per triple bounds every similarity from above; each distinct word is compared with
 the landmarks unless the fitted machine gives no positive value to any similarities up to its bound.
 """
 
@@ -28,11 +29,13 @@ THRESHOLD = 0.7
 MODULUS, HELD_OUT = 3, 1
 #: Most labelled documents the machine is fitted on.
 TRAINING_ROWS = 8_000
-MARKING, OTHERS = 128, 32    # landmarks
+#: Landmarks: different witnesses (most documents first) and other words. More witnesses than that still train the machine.
+MARKING, OTHERS = 1024, 32
+TELLING, SEEN = 4.0, 3       # a witness's evidence in nats, and its documents, at least
 SPAN = 6        # widest triple, in characters
 DECAY = 0.7     # worth of each further character
 POWER = 3
-LONGEST = 32    # a longer run of letters is cut
+LONGEST, STRIDE = 32, 16    # a longer run of letters is read in overlapping pieces
 REMEMBERED = 200_000
 SURE = 0.8      # decision value of a word that is toxic beyond doubt
 
@@ -66,10 +69,12 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     start, doc = start[~joined], doc[~joined]
     size = np.diff(np.append(start, len(letters)))
     if size.max() > LONGEST:
-        cuts = -(-size // LONGEST)
-        within = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        start, doc = np.repeat(start, cuts) + LONGEST * within, np.repeat(doc, cuts)
-        size = np.diff(np.append(start, len(letters)))
+        cuts = np.maximum(1, -(-(size - LONGEST) // STRIDE) + 1)
+        within = STRIDE * (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+        start, doc, size = np.repeat(start, cuts) + within, np.repeat(doc, cuts), np.minimum(np.repeat(size, cuts) - within, LONGEST)
+        first = np.cumsum(size) - size
+        letters = letters[np.arange(size.sum()) + np.repeat(start - first, size)]
+        start = first
     at = np.arange(len(letters)) + np.repeat(np.arange(len(start)), size) + 1
     out = np.ones(len(letters) + len(start) + 1, np.int32)
     out[at] = codes[letters]
@@ -210,26 +215,55 @@ def evidence(hits: np.ndarray, sure: np.ndarray) -> np.ndarray:
     return np.column_stack((np.log1p(hits), np.log1p(sure)))
 
 
-def _vocabulary(rows: DataFrame) -> tuple[list[str], list[str]]:
-    """(words that mark toxic documents, words of the rest by hash), by documents counted on Spark."""
-    words = rows.select("label", F.explode(F.array_distinct(F.regexp_extract_all(
-        F.lower("text"), F.lit("\\p{L}{3,16}"), F.lit(0)))).alias("word"))
-    seen = words.groupBy("word").agg(F.sum("label").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
+def _witnesses(rows: DataFrame) -> tuple[list[bytes], list[bytes]]:
+    """(witnesses of toxic documents, most documents first; words of the rest by hash), as letter codes.
+
+    A word's evidence is the likelihood ratio of its documents' labels against those of all; each toxic document
+    takes its word of most evidence. Counted on Spark; at most one word a sampled document reaches the driver.
+    """
+    def bags(batches):
+        for batch in batches:
+            raw, offsets = as_bytes(batch["text"])
+            for a, b in spans(offsets, 1 << 19):
+                codes, begin, doc = words_of(raw[offsets[a]: offsets[b]], offsets[a: b + 1] - offsets[a])
+                small = codes.astype(np.uint8)
+                met = sorted({(d, small[i: j - 1].tobytes()) for d, i, j in zip(doc.tolist(), begin.tolist(), begin[1:].tolist()) if j - i > 3})
+                at = pa.array(np.array([a + d for d, _ in met], np.int64))
+                yield pa.RecordBatch.from_arrays([batch["row"].take(at), batch["label"].take(at), pa.array([w for _, w in met], pa.binary())],
+                                                 names=["row", "label", "word"])
+
+    words = rows.withColumn("row", F.xxhash64("doc_id", "text")).select("row", "label", "text").mapInArrow(bags, "row long, label int, word binary")
     total = rows.agg(F.sum("label"), F.count("*")).first()
-    share = float(total[0] or 0) / max(1.0, float(total[1] or 0))
-    # standard deviations above what the share of toxic documents lets expect
-    lean = (F.col("p") - F.col("n") * share) / F.sqrt(F.col("n") * share + 0.25)
-    scored = seen.withColumn("lean", lean)
-    marking = scored.where("lean > 6 and p >= 0.8 * n").orderBy(F.desc("lean"), "word").limit(MARKING).collect()
-    others = scored.where("p < 0.5 * n").orderBy(F.xxhash64("word"), "word").limit(OTHERS).collect()
-    return [r["word"] for r in marking], [r["word"] for r in others]
+    if not total[0] or total[0] == total[1]:
+        return [], []
+    share = float(total[0]) / float(total[1])
+    p, n = F.col("p"), F.col("n")
+    ratio = p * F.log(p / (n * share)) + F.when(n > p, (n - p) * F.log((n - p) / (n * (1 - share)))).otherwise(0.0)
+    seen = words.groupBy("word").agg(F.sum("label").cast("double").alias("p"), F.count("*").cast("double").alias("n"))
+    told = seen.where((p > n * share) & (n >= SEEN)).withColumn("ratio", ratio).where(F.col("ratio") >= TELLING)
+    best = words.where("label = 1").join(told, "word").groupBy("row").agg(F.max_by("word", F.struct("ratio", "word")).alias("word"))
+    witnesses = best.groupBy("word").count().orderBy(F.desc("count"), "word").collect()
+    others = seen.where(p < n * share).orderBy(F.xxhash64("word"), "word").limit(OTHERS).collect()
+    return [bytes(r["word"]) for r in witnesses], [bytes(r["word"]) for r in others]
+
+
+def _spellings(word: bytes) -> list[bytes]:
+    """The word and what it becomes when one or two letters are put in."""
+    out = [word]
+    if len(word) > 3:
+        rng = np.random.default_rng(list(word))
+        for _ in range(3):
+            a, b = sorted(rng.integers(1, len(word), 2).tolist())
+            x, y = (bytes([c]) for c in rng.integers(2, 28, 2).tolist())
+            out += [word[:a] + x + word[a:], word[:a] + x + word[a:b] + y + word[b:]]
+    return [w[:LONGEST] for w in out]
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, rounds: int = 2) -> tuple[KernelMachine, np.ndarray]:
     """(machine, weights of the calibration) from at most ``most`` labelled documents.
 
-    Trained on the words that mark toxic documents against words of clean ones; each round adds the
-    worst word of every clean document, then the counts of toxic words are calibrated on the labels.
+    A round trains on the witnesses of toxic documents, also with letters put in, against the worst words of clean ones; then a
+    toxic document without a witness takes its worst word. At last the counts of toxic words are calibrated on the labels.
     """
     sample = training_labels(labels, "toxic", MODULUS, HELD_OUT, most)
     def sketch(batches):
@@ -244,11 +278,11 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, rounds
 
     rows = staged(labelled_rows(text_rows(docs), sample).select("doc_id", "text", "label").mapInArrow(
         sketch, "doc_id long, text string, label int, sketch long"), "toxic-sample")
-    marking, others = ([_encoded(w) for w in ws] for ws in _vocabulary(rows.dropDuplicates(["sketch", "label"])))
+    witnesses, others = _witnesses(rows.dropDuplicates(["sketch", "label"]))
+    marking = witnesses[:MARKING]
     machine, none = KernelMachine(marking, others), np.zeros(3)
     if not marking or not others:
         return machine, none
-    wanted = set(marking)
 
     def look():
         shared = rows.sparkSession.sparkContext.broadcast(machine)
@@ -263,15 +297,29 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAINING_ROWS, rounds
         return rows.mapInArrow(worst, "doc_id long, label int, hits long, sure long, word binary").orderBy(
             "doc_id", "label", "hits", "word").limit(2 * most).toPandas()
 
-    # spellings with a character put in are toxic, too
-    insulting = [*marking, *(w[:at] + bytes([25]) + w[at:] for w in marking if len(w) > 3 for at in (2, len(w) - 2))]
-    clean = dict.fromkeys(w for w in others if w not in wanted)
+    toxic, known = dict.fromkeys(witnesses), set(witnesses)
+    clean = dict.fromkeys(w for w in others if w not in known)
+
+    def train():
+        words = list(dict.fromkeys(v for w in toxic for v in _spellings(w) if v not in clean))
+        machine.fit([*words, *clean], np.array([1] * len(words) + [0] * len(clean)))
+        return look()
+
     for _ in range(rounds):
-        machine.fit([*insulting, *clean], np.array([1] * len(insulting) + [0] * len(clean)))
-        found = look()
-        clean |= dict.fromkeys(w for w in found.loc[found["label"] == 0, "word"] if w and bytes(w) not in wanted)
-    machine.fit([*insulting, *clean], np.array([1] * len(insulting) + [0] * len(clean)))
-    found = look()
+        found = train()
+        size = found["label"].value_counts()
+        met = found.loc[found["word"].map(len) > 0, ["word", "label"]].groupby("word")["label"].agg(["sum", "count"])
+        for word, (p, n) in zip(map(bytes, met.index), met.to_numpy().tolist()):
+            if word in known:
+                continue
+            # the class in which the word is worst more often, by the classes' sizes
+            if p * size.get(0, 0) > (n - p) * size.get(1, 0):
+                if machine.decide([word])[0] > 0 and word not in clean:
+                    toxic[word] = None
+            else:
+                toxic.pop(word, None)
+                clean[word] = None
+    found = train()
     if found["label"].nunique() < 2:
         return machine, none
     return machine, fitted_logistic(

@@ -33,6 +33,41 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(zlib.crc32(str(d).encode()) % 3 == 1 for d in held["doc_id"])
 
 
+def test_toxicity_learns_many_rare_insults_from_sentences(spark):
+    """400 invented insults, two in each toxic document, each in about ten training documents; found also with a letter put in."""
+    rng = np.random.default_rng(8)
+
+    def invented(n):
+        return "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+
+    insults, common = [invented(int(n)) for n in rng.integers(5, 10, 400)], [invented(int(n)) for n in rng.integers(2, 9, 1500)]
+    rows, labels = [], []
+    for i in range(6000):
+        text, toxic = [common[j] for j in rng.integers(0, 1500, 30)], i % 2
+        for _ in range(2 * toxic):
+            word = insults[rng.integers(0, 400)]
+            if zlib.crc32(str(i).encode()) % 3 == 1 and i % 4 == 1:
+                at = rng.integers(1, len(word))
+                word = word[:at] + "aeiou"[i % 5] + word[at:]
+            text.insert(int(rng.integers(0, 30)), word)
+        rows.append((i, " ".join(text), "en", "s", 0))
+        labels.append((i, 0, toxic))
+    docs = spark.createDataFrame(rows, DOCS).repartition(8)
+    got = T.toxicity_scores(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("held_out").toPandas()
+    toxic, changed = got["doc_id"] % 2 == 1, got["doc_id"] % 4 == 1
+    assert got.loc[toxic & ~changed, "predicted"].mean() > 0.9
+    assert got.loc[changed, "predicted"].mean() > 0.8
+    assert got.loc[~toxic, "predicted"].mean() < 0.1
+
+
+def test_long_runs_are_read_in_overlapping_pieces():
+    run = "abcdefghijklmnopqrstuvwxyz" * 4
+    raw = np.frombuffer(f"so {run} end".encode(), np.uint8)
+    codes, begin, doc = T.words_of(raw, np.array([0, len(raw)]))
+    words = ["".join(chr(95 + c) for c in codes[a:b - 1]) for a, b in zip(begin, begin[1:])]
+    assert words == ["so", *[run[i: i + 32] for i in range(0, 81, 16)], "end"] and len(doc) == len(words)
+
+
 @pytest.mark.parametrize("scores", [Q.quality_scores, T.toxicity_scores])
 def test_classifier_edges(spark, scores):
     rows = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (2, "", "en", "s", 0), (None, "some text", None, None, None), (3, "x" * 300_000, "en", "s", 0)]
