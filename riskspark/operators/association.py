@@ -255,17 +255,24 @@ def _anova_of(g: DataFrame) -> DataFrame:
 # -- univariate logistic ------------------------------------------------------
 def univariate_logistic(df: DataFrame, features: Sequence[str], target: str, spec: FeatureSpec | None = None, *,
                         max_iter: int = 35, tol: float = 1e-10) -> DataFrame:
-    """Odds ratio and Wald p per predictor; separated or degenerate predictors are left out.
+    """Odds ratio and Wald p per predictor with two values or more, the last estimate if it does not converge."""
+    out = logistic_fits(df, features, target, max_iter=max_iter, tol=tol).withColumn("p_value", tails.p_z(F.col("z")))
+    return record(out, "Univariate logistic regression", "odds_ratio", "odds_ratio",
+                  kind_of(spec) if spec else "continuous")
+
+
+def logistic_fits(df: DataFrame, features: Sequence[str], target: str, *, max_iter: int = 35, tol: float = 1e-10) -> DataFrame:
+    """feature, beta, odds_ratio, z, converged of a logistic regression on each predictor alone.
 
-    Newton steps for all predictors share one aggregate per iteration; only five sums
-    per predictor reach the driver.
+    A predictor that separates the classes has no finite estimate: the last one is kept, with ``converged`` false and z as its
+    curvature gives it (0 where that is singular). Newton steps for all predictors share one aggregate per iteration; only five
+    sums per predictor reach the driver. Left out are predictors with one value, or rows of one class only.
     """
     spark = df.sparkSession
-    schema = "feature string, beta double, odds_ratio double, z double"
+    schema = "feature string, beta double, odds_ratio double, z double, converged boolean"
     levels = df.filter(ident(target).isNotNull()).select(ident(target)).distinct().limit(3).collect()
     if len(levels) != 2 or not features:
-        return record(spark.createDataFrame([], schema).withColumn("p_value", F.col("z")),
-                      "Univariate logistic regression", "odds_ratio", "odds_ratio", "continuous")
+        return spark.createDataFrame([], schema)
     positive = max(r[0] for r in levels)
     rows = df.filter(ident(target).isNotNull()).select(
         (ident(target) == F.lit(positive)).cast("double").alias("_y"),
@@ -276,7 +283,15 @@ def univariate_logistic(df: DataFrame, features: Sequence[str], target: str, spe
         aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"),
                  F.avg(F.when(seen, F.col("_y"))).alias(f"p{i}")]
     base = rows.agg(*aggs).first()
-    state, results = {}, []
+    state, curve, results = {}, {}, []
+
+    def keep(i: int, converged: bool):
+        b, hess = state.pop(i), curve.get(i)
+        beta = float(b[1] / base[f"s{i}"])
+        var = np.linalg.inv(hess)[1, 1] if hess is not None else -1.0
+        z = float(b[1] / math.sqrt(var)) if var > 0 and math.isfinite(var) else 0.0
+        results.append((features[i], beta, math.exp(beta) if beta < 700 else math.inf, z, converged))
+
     for i in range(len(features)):
         mean, sd, prev = base[f"m{i}"], base[f"s{i}"], base[f"p{i}"]
         if sd and prev and 0 < prev < 1 and math.isfinite(sd):
@@ -294,22 +309,17 @@ def univariate_logistic(df: DataFrame, features: Sequence[str], target: str, spe
         r = rows.agg(*aggs).first()
         for i in list(state):
             hess = np.array([[r[f"a{i}"], r[f"b{i}"]], [r[f"b{i}"], r[f"c{i}"]]])
-            if not np.isfinite(hess).all() or abs(np.linalg.det(hess)) < 1e-12 * (1 + hess[0, 0] ** 2):
-                del state[i]
+            if not np.isfinite(hess).all() or abs(np.linalg.det(hess)) < 1e-12 * hess[0, 0] * hess[1, 1] or hess[0, 0] < 1e-8:
+                keep(i, False)
                 continue
+            curve[i] = hess
             step = np.linalg.solve(hess, np.array([r[f"g{i}"], r[f"h{i}"]]))
             state[i] = state[i] + np.clip(step, -5, 5)
-            if abs(state[i][1]) > 30:
-                del state[i]
-            elif np.abs(step).max() < tol * (1 + np.abs(state[i]).max()):
-                se = math.sqrt(np.linalg.inv(hess)[1, 1]) / base[f"s{i}"]
-                beta = float(state[i][1] / base[f"s{i}"])
-                results.append((features[i], beta, math.exp(beta) if beta < 700 else math.inf, beta / se))
-                del state[i]
-    out = spark.createDataFrame(results, schema)
-    out = out.withColumn("p_value", tails.p_z(F.col("z")))
-    return record(out, "Univariate logistic regression", "odds_ratio", "odds_ratio",
-                  kind_of(spec) if spec else "continuous")
+            if np.abs(step).max() < tol * (1 + np.abs(state[i]).max()):
+                keep(i, True)
+    for i in list(state):
+        keep(i, False)
+    return spark.createDataFrame(results, schema)
 
 
 # -- collinearity -------------------------------------------------------------

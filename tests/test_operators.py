@@ -123,8 +123,13 @@ def test_logistic_newton_matches_score_equations(spark):
     x = rng.normal(size=400)
     y = (rng.uniform(size=400) < 1 / (1 + np.exp(-(0.3 + 0.8 * x)))).astype(int)
     df = spark.createDataFrame([(float(a), int(b), float(b)) for a, b in zip(x, y)], "x double, y int, split double")
-    out = A.univariate_logistic(df, ["x", "split"], "y").collect()
-    assert [r["predictor"] for r in out] == ["x"]  # the separating predictor is left out
+    flat = df.withColumn("flat", F.lit(1.0)).withColumn("partly", F.when(F.col("y") == 1, F.abs("x") + 1).otherwise(F.least(F.col("x"), F.lit(1.0))))
+    out = sorted(A.univariate_logistic(flat, ["x", "split", "flat", "partly"], "y").collect(), key=lambda r: r["predictor"] != "x")
+    assert {r["predictor"] for r in out} == {"x", "split", "partly"}  # separating predictors keep their last estimate
+    fits = {r["feature"]: r for r in A.logistic_fits(flat, ["x", "split", "flat", "partly"], "y").collect()}
+    assert fits["x"]["converged"] and not fits["split"]["converged"] and not fits["partly"]["converged"]
+    assert all(fits[c]["beta"] > 5 and math.isfinite(fits[c]["z"]) for c in ("split", "partly")) and abs(fits["split"]["z"]) < 1
+    assert all(0 <= r["p_value"] <= 1 for r in out)
     w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-(w[0] + w[1] * x)))
