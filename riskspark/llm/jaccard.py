@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from riskspark.llm.common import only, staged, text_rows, without
@@ -27,6 +28,8 @@ LEAF = 16
 FEW = 16
 #: Members of one meeting place that one task joins at once; a larger one is joined in pairs of blocks.
 BLOCK = 2048
+#: Bytes of text whose sets a task holds at once when it verifies pairs.
+PIECE = 4_000_000
 
 
 def _levels(top: int) -> np.ndarray:
@@ -184,6 +187,7 @@ def _read_sets(batches, emit):
     for batch in batches:
         for a, b, run in runs(batch["text"], NOT_SPACE):
             yield emit(batch.slice(a, b - a), *shingle_sets(run, SIZE))
+    pa.default_memory_pool().release_unused()
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -221,13 +225,22 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` whose sets link, by intersection of the whole sets."""
     def check(batches):
         for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            left = [x for part in runs(batch["text_a"], NOT_SPACE) for x in _split(part)]
-            right = [x for part in runs(batch["text_b"], NOT_SPACE) for x in _split(part)]
-            for i, (x, y) in enumerate(zip(left, right)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = both > 0 and _may_link(both, len(x), len(y))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            size = pc.add(pc.binary_length(batch["text_a"]), pc.binary_length(batch["text_b"])).to_numpy(zero_copy_only=False)
+            piece = (np.cumsum(size, dtype=np.int64) - size) // PIECE
+            cuts = np.flatnonzero(np.diff(piece)) + 1
+            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                yield linking(batch.slice(x, y - x))
+        pa.default_memory_pool().release_unused()
+
+    def linking(rows):
+        """The rows whose sets link; the sets of a few megabytes of text are held at once."""
+        keep = np.zeros(rows.num_rows, bool)
+        left = [x for part in runs(rows["text_a"], NOT_SPACE) for x in _split(part)]
+        right = [x for part in runs(rows["text_b"], NOT_SPACE) for x in _split(part)]
+        for i, (x, y) in enumerate(zip(left, right)):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep[i] = both > 0 and _may_link(both, len(x), len(y))
+        return rows.select(["a", "b"]).filter(pa.array(keep))
 
     def _split(part):
         sets, offsets = shingle_sets(part[2], SIZE)
