@@ -18,7 +18,6 @@ RUN = 1 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 5
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = [np.ones(1, _U), np.ones(1, _U)]
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -42,12 +41,24 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def _power(which: int, n: int) -> np.ndarray:
-    if len(_powers[which]) < n:
-        step = np.full(max(n, 2 * RUN), (_BASE, _INVERSE)[which], _U)
-        step[0] = 1
-        _powers[which] = np.multiply.accumulate(step)
-    return _powers[which]
+class _Powers:
+    """Powers of the base and of its inverse, made anew in each process: code that is sent to workers leaves them behind."""
+
+    def __init__(self):
+        self.tables = [np.ones(1, _U), np.ones(1, _U)]
+
+    def __reduce__(self):
+        return type(self), ()
+
+    def upto(self, which: int, n: int) -> np.ndarray:
+        if len(self.tables[which]) < n:
+            step = np.full(max(n, 2 * RUN), (_BASE, _INVERSE)[which], _U)
+            step[0] = 1
+            self.tables[which] = np.multiply.accumulate(step)
+        return self.tables[which]
+
+
+_POWERS = _Powers()
 
 
 @dataclass
@@ -100,8 +111,8 @@ def run_of(raw: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray, fold: n
     starts = np.flatnonzero(word[1:-1] & (~word[:-2] | begin[:n]))
     ends = np.flatnonzero(word[1:-1] & (~word[2:] | begin[1:])) + 1
     total = np.zeros(n + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * _power(0, n)[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * _power(1, n)[starts] + (ends - starts).astype(_U))
+    np.cumsum((data.astype(_U) + _U(1)) * _POWERS.upto(0, n)[:n], out=total[1:])
+    hashes = mix((total[ends] - total[starts]) * _POWERS.upto(1, n)[starts] + (ends - starts).astype(_U))
     doc = np.searchsorted(offsets, starts, "right") - 1
     return Run(data, offsets, starts, ends, hashes, doc, np.bincount(doc, minlength=k))
 

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark import cloudpickle
 from tokenizers import Tokenizer
 
 from riskspark.llm import decontam as D, html as H, packing as P
@@ -138,3 +139,10 @@ def test_page_texts(spark):
     got = sorted((tuple(r) for r in H.page_texts(pages).collect()), key=str)
     assert got == sorted([(1, "u", "a b", 3), (1, "u", "a b", 3), (None, None, "", 0)], key=str)
     assert H.page_texts(pages.limit(0)).collect() == []
+
+
+def test_code_sent_to_workers_is_small():
+    windows = D.Windows([("a", "one two three four five six seven eight nine ten eleven")], 10)
+    sent = cloudpickle.dumps(windows)
+    assert len(sent) < 100_000
+    assert cloudpickle.loads(sent).by == windows.by
