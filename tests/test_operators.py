@@ -1,8 +1,10 @@
 """Edge frames, multi-bucket paths and numeric checks against plain NumPy."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,6 +189,31 @@ def test_nearest_against_brute_force(spark, block):
     assert all([b for _, b in sorted(got[i])] == list(want[i]) for i in range(300))
 
 
+@pytest.mark.parametrize("kind", ["line", "levels", "wide"])
+def test_nearest_over_many_cells(spark, kind):
+    """Cells by their bounds, crowded ones of equal rows, and dimensions in which no cell is ruled out."""
+    rng = np.random.default_rng(5)
+    x = {"line": rng.normal(size=(900, 1)) + 1e6, "levels": rng.integers(0, 3, size=(900, 2)).astype(float), "wide": rng.normal(size=(900, 30))}[kind]
+    names = [f"x{j}" for j in range(x.shape[1])]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["id", *names])
+    got = N.nearest(df, df, names, 5, query_key="id", base_key="id", exclude_self=True, block_rows=40).orderBy("query_id", "rank").collect()
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert [r["base_id"] for r in got] == np.argsort(d, axis=1, kind="stable")[:, :5].ravel().tolist()
+
+
+def test_nearest_holds_few_pairs_at_a_time():
+    rng = np.random.default_rng(6)
+    left, right = (pd.DataFrame({c: np.arange(4096), "v": list(rng.normal(size=(4096, 3)))}) for c in ("query_id", "base_id"))
+    tracemalloc.start()
+    r, c, d, rank = N._k_nearest(left, right, 5, False)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4096 * 4096 * 8 / 2 and rank.max() == 4 and len(r) == 5 * 4096
+    gap = N.squared_distances(np.stack(left["v"][:50]), np.stack(right["v"]))
+    assert c[:250].tolist() == np.argsort(gap, axis=1)[:, :5].ravel().tolist()
+
+
 def test_silhouette_blocks_agree(spark):
     _, df = points(spark, 200, 2)
     df = df.withColumn("label", (F.col("x0") > 0).cast("int"))
