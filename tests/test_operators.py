@@ -221,6 +221,19 @@ def test_silhouette_blocks_agree(spark):
     assert K.silhouette(df, ["x0", "x1"], "id", "label", block_rows=30).first()[0] == pytest.approx(one, abs=1e-12)
 
 
+def test_silhouette_against_brute_force(spark):
+    """Far from the origin, with equal rows, block by block."""
+    x, _ = points(spark, 90, 3)
+    x = np.concatenate([x, x[:20]]) + 1e4
+    label = (x[:, 0] > 1e4).astype(int) + 2 * (x[:, 1] > 1e4)
+    df = spark.createDataFrame([(i, *map(float, r), int(c)) for i, (r, c) in enumerate(zip(x, label))], "id long, x0 double, x1 double, x2 double, c int")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {(i, int(c)): d[i, label == c].sum() for i in range(len(x)) for c in np.unique(label)}
+    for block in (4096, 5):
+        sums = N.cluster_distance_sums(df, ["x0", "x1", "x2"], "id", "c", block_rows=block).collect()
+        assert {(r["id"], r["cluster"]): r["total"] for r in sums} == pytest.approx(want, rel=1e-9)
+
+
 def test_ward_merge_separates_groups():
     c = np.array([[0, 0], [0, 1], [10, 10], [10, 11], [50, 0]], float)
     code = K.ward_merge(c, np.ones(5), 3)
