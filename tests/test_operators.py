@@ -234,6 +234,16 @@ def test_silhouette_against_brute_force(spark):
         assert {(r["id"], r["cluster"]): r["total"] for r in sums} == pytest.approx(want, rel=1e-9)
 
 
+def test_starts_of_kmeans_advance_together(spark):
+    """As MLlib's own steps from the same start."""
+    from pyspark.ml.clustering import KMeans
+    _, df = points(spark, 400, 3)
+    fits = {k: [KMeans(k=k, seed=42 + r, maxIter=100).fit(K.assemble(df, ["x0", "x1", "x2"])).summary.trainingCost for r in range(2)] for k in (3, 5)}
+    got = K.kmeans_sweep(df, ["x0", "x1", "x2"], "id", [3, 5], restarts=2, parallelism=1).collect()
+    assert [r["inertia"] for r in got] == pytest.approx([min(fits[k]) for k in (3, 5)], rel=1e-9)
+    assert all(r["silhouette"] is None and 0 < r["silhouette_squared"] < 1 for r in got)
+
+
 def test_ward_merge_separates_groups():
     c = np.array([[0, 0], [0, 1], [10, 10], [10, 11], [50, 0]], float)
     code = K.ward_merge(c, np.ones(5), 3)
