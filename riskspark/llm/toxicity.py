@@ -81,12 +81,19 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, np.append(at[start], len(out)), doc
 
 
-def bounds(codes: np.ndarray, begin: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """For every word: the table's entries of its triples, with decay, over the word's norm."""
+def _room(begin: np.ndarray, n: int) -> np.ndarray:
+    """At each of ``n`` codes the steps to the edge that ends its word; an edge belongs to the word after it."""
     size = np.diff(begin) - 1
-    room = np.zeros(len(codes), np.int32)       # steps to the edge that ends the word
+    room = np.zeros(n, np.int32)
     room[begin[0] - 1: begin[-1] - 1] = np.repeat(size + 1, size + 1) - (
         np.arange(begin[-1] - begin[0]) - np.repeat(begin[:-1] - begin[0], size + 1))
+    return room
+
+
+def bounds(codes: np.ndarray, begin: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """For every word: the table's entries of its triples, with decay, over the word's norm."""
+    size = np.diff(begin) - 1
+    room = _room(begin, len(codes))
     long = np.concatenate((codes, np.zeros(SPAN, np.int32)))
     total, n = np.zeros(len(codes), np.float32), len(codes)
     for a, b, worth in _STEPS:
@@ -95,24 +102,58 @@ def bounds(codes: np.ndarray, begin: np.ndarray, table: np.ndarray) -> np.ndarra
     return np.add.reduceat(total, begin[:-1] - 1) / _NORM[size] if len(size) else np.zeros(0)
 
 
-def similarities(words: list[bytes], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel of words (their codes as bytes) with landmarks, one column of triples each."""
-    out = np.zeros((len(words), landmarks.shape[1]), np.float32)
+def _in_row(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of words with an edge between them, and where each begins (one more at the end)."""
+    codes = np.frombuffer(b"\1" + b"".join(w + b"\1" for w in words), np.uint8).astype(np.int32)
+    return codes, np.cumsum([1, *(len(w) + 1 for w in words)])
+
+
+class Landmarks:
+    """Words by their triples: the entries of triple t are ``first[t]`` to ``first[t + 1]``, each a word and its worth there.
+
+    A word has some dozens of the 32,768 triples, so only these are held and met.
+    """
+
+    def __init__(self, words: list[bytes]):
+        triples, worths = [], []
+        for w in words:
+            x = np.array([1, *w, 1])
+            met = [((((x[:-b] << _BITS) | x[a: a + len(x) - b]) << _BITS) | x[b:], worth) for a, b, worth in _STEPS if len(x) > b]
+            triple, at = np.unique(np.concatenate([t for t, _ in met] or [np.zeros(0, np.int64)]), return_inverse=True)
+            worth = np.zeros(len(triple), np.float32)
+            np.add.at(worth, at, np.repeat(np.array([v for _, v in met], np.float32), [len(t) for t, _ in met]))
+            # the norm adds up triple after triple
+            norm = np.sqrt(np.add.accumulate(worth * worth)[-1:].sum(dtype=np.float32))
+            triples.append(triple)
+            worths.append(worth / np.maximum(norm, np.float32(1e-9)))
+        self.count = len(words)
+        triple = np.concatenate(triples or [np.zeros(0, np.int64)])
+        order = np.argsort(triple, kind="stable")
+        self.word = np.repeat(np.arange(len(words)), np.array([len(t) for t in triples], np.int64))[order]
+        self.worth = np.concatenate(worths or [np.zeros(0, np.float32)])[order]
+        self.first = np.searchsorted(triple[order], np.arange(_SIZE + 1))
+        self.most = np.zeros(_SIZE, np.float32)     # largest entry of each triple
+        np.maximum.at(self.most, triple[order], self.worth)
+
+
+def similarities(words: list[bytes], landmarks: Landmarks) -> np.ndarray:
+    """Kernel of words (their codes as bytes) with landmarks, a column each."""
+    out = np.zeros((len(words), landmarks.count), np.float32)
     for at in range(0, len(words), 1024):
-        part = words[at: at + 1024]
-        size = np.array([len(w) for w in part])
-        grid = np.zeros((len(part), size.max() + 2 + SPAN), np.int32)
-        grid[:, 0] = 1
-        for row, w in zip(grid, part):
-            row[1: len(w) + 1] = np.frombuffer(w, np.uint8)
-            row[len(w) + 1] = 1
+        codes, begin = _in_row(words[at: at + 1024])
+        size = np.diff(begin) - 1
+        room = _room(begin, len(codes))
+        row = np.repeat(np.arange(len(size)), size + 1) * landmarks.count
+        cells = out[at: at + 1024].reshape(-1)
         for a, b, worth in _STEPS:
-            for i in range(size.max() + 2 - b):
-                rows = np.flatnonzero(size + 1 >= i + b)
-                x = grid[rows]
-                out[at + rows] += worth * landmarks[(((x[:, i] << _BITS) | x[:, i + a]) << _BITS) | x[:, i + b]]
-        out[at: at + 1024] /= _NORM[size][:, None]
-    return np.clip(out, 0, 1) ** POWER
+            i = np.flatnonzero(room >= b)
+            triple = (((codes[i] << _BITS) | codes[i + a]) << _BITS) | codes[i + b]
+            n = landmarks.first[triple + 1] - landmarks.first[triple]
+            entry = np.arange(n.sum()) + np.repeat(landmarks.first[triple] - (np.cumsum(n) - n), n)
+            np.add.at(cells, np.repeat(row[i], n) + landmarks.word[entry], worth * landmarks.worth[entry])
+        met = np.flatnonzero(cells)
+        cells[met] = np.clip((cells[met] / _NORM[size][met // landmarks.count]).astype(np.float32), 0, 1) ** POWER
+    return out
 
 
 def _encoded(word: str) -> bytes:
@@ -126,15 +167,8 @@ class KernelMachine:
     def __init__(self, marking: list[bytes], others: list[bytes], alpha: np.ndarray | None = None, bias: float = 0.0):
         self.marking, self.others = marking, others
         words = [*marking, *others]
-        z = np.zeros((_SIZE, len(words)), np.float32)
-        for j, w in enumerate(words):
-            x = np.array([1, *w, 1])
-            for a, b, worth in _STEPS:
-                n = len(x) - b
-                if n > 0:
-                    np.add.at(z[:, j], (((x[:n] << _BITS) | x[a: a + n]) << _BITS) | x[b: b + n], worth)
-        self.z = z / np.maximum(np.linalg.norm(z, axis=0), 1e-9)
-        self.bound = self.z.max(1) if words else np.zeros(_SIZE, np.float32)
+        self.z = Landmarks(words)
+        self.bound = self.z.most
         self.alpha, self.bias = np.zeros(len(words)) if alpha is None else alpha, bias
         self.values: dict[bytes, float] = {}    # decision values of words already met, about REMEMBERED at most
 
@@ -171,8 +205,7 @@ class KernelMachine:
     def decide(self, words: list[bytes]) -> np.ndarray:
         """Decision values of words; minus infinity for those that no similarities up to their bound make toxic."""
         out = np.full(len(words), -np.inf)
-        codes = np.frombuffer(b"\1" + b"".join(w + b"\1" for w in words), np.uint8).astype(np.int32)
-        begin = np.cumsum([1, *(len(w) + 1 for w in words)])
+        codes, begin = _in_row(words)
         near = np.flatnonzero(bounds(codes, begin, self.bound) >= self.least())
         out[near] = similarities([words[i] for i in near.tolist()], self.z) @ self.alpha + self.bias
         return out

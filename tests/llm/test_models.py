@@ -119,6 +119,18 @@ def test_kernel_equals_sums_over_triples():
     assert (T.bounds(c, begin, machine.bound) + 1e-4 >= got.max(1) ** (1 / T.POWER)).all()
 
 
+def test_landmarks_hold_their_triples_only():
+    """A thousand landmarks take a few megabytes, and a word without a triple of theirs is like none."""
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(2, 20, 8).astype(np.uint8)) for _ in range(1000)]
+    machine = T.KernelMachine(words, [])
+    assert sum(v.nbytes for v in vars(machine.z).values() if isinstance(v, np.ndarray)) < 4_000_000
+    got = T.similarities([bytes([25] * 5), words[7], b""], machine.z)
+    assert got.shape == (3, 1000) and abs(got[1, 7] - 1) < 1e-4
+    assert (got[0] == 0).all() and (got[2] == 0).all()
+    assert T.similarities(words[:2], T.KernelMachine([], []).z).shape == (2, 0)
+
+
 def test_inserted_letters_reach_the_machine():
     """Texts count as toxic exactly by the decision values of their words, also with one or two letters put in."""
     insults = ["idiot", "moron", "stupid", "scum", "clown", "loser", "trash"]
