@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from string import ascii_lowercase, ascii_uppercase
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from riskspark.llm.common import fresh, only, staged, text_rows
@@ -56,6 +55,17 @@ def signatures(lines: pa.Array) -> np.ndarray:
     return out
 
 
+def _cut(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingles of each line; the codes of all lines are made at once."""
+    raw, offsets = as_bytes(pa.array(lines, pa.large_string()))
+    codes, out = _shingle_codes(LOWER[raw]), []
+    for a, b in zip(offsets[:-1].tolist(), (offsets[1:] - SHINGLE + 1).tolist()):
+        s = np.sort(codes[a: max(a, b)])
+        new = s[1:] != s[:-1]
+        out.append(s if new.all() else np.append(s[:1], s[1:][new]))
+    return out
+
+
 class _Shingles:
     """Shingle sets by line; lines that come in many pairs are cut once, within bounded memory."""
 
@@ -65,15 +75,17 @@ class _Shingles:
         self.held: dict[str, np.ndarray] = {}
         self.size = 0
 
-    def __call__(self, line: str) -> np.ndarray:
-        got = self.held.get(line)
-        if got is None:
-            got = np.unique(_shingle_codes(LOWER[np.frombuffer(line.encode(), np.uint8)]))
-            if self.size + len(got) > self.KEPT:
-                self.held, self.size = {}, 0
-            self.held[line] = got
-            self.size += len(got)
-        return got
+    def __call__(self, lines: list[str]) -> list[np.ndarray]:
+        got = {x: self.held.get(x) for x in lines}
+        new = [x for x, s in got.items() if s is None]
+        got.update(zip(new, _cut(new)))
+        size = sum(len(got[x]) for x in new)
+        if self.size + size > self.KEPT:
+            self.held, self.size = {}, 0
+        if size <= self.KEPT:
+            self.held.update((x, got[x]) for x in new)
+            self.size += size
+        return [got[x] for x in lines]
 
 
 def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -86,12 +98,18 @@ def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def _near(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the sets are that similar; sizes too far apart settle it."""
+    small, large = sorted((len(x), len(y)))
+    return large > 0 and small / large >= similarity and _jaccard(x, y) >= similarity
+
+
 def _joined(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links that join the parts of lines which any near-equal pair of different parts and sides joins (side 0 goes with 0)."""
     sizes = np.array([len(s) for s in sets])
     shingle, at = np.unique(np.concatenate(sets), return_inverse=True)
     begin = np.cumsum(sizes) - sizes
-    held, part, found = np.zeros(len(shingle), bool), part.copy(), []
+    ends, held, part, found = np.append(0, np.cumsum(sizes)), np.zeros(len(shingle), bool), part.copy(), []
     for i in np.flatnonzero((side < 2) & (sizes > 0)).tolist():
         other = (part != part[i]) & ((side[i] == 0) | (side != side[i]))
         other &= (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]))
@@ -100,12 +118,16 @@ def _joined(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray, similari
             continue
         mine = at[begin[i]: begin[i] + sizes[i]]
         held[mine] = True
-        for j in rows.tolist():
+        # shared shingles of each such line: one pass over all lines where most are wanted, else line by line
+        if 4 * len(rows) >= len(sizes):
+            total = np.append(0, np.cumsum(held[at], dtype=np.int64))[ends]
+            both = (total[1:] - total[:-1])[rows]
+        else:
+            both = np.array([np.count_nonzero(held[at[begin[j]: begin[j] + sizes[j]]]) for j in rows.tolist()])
+        for j in rows[both / (sizes[i] + sizes[rows] - both) >= similarity].tolist():
             if part[j] != part[i]:
-                both = int(held[at[begin[j]: begin[j] + sizes[j]]].sum())
-                if both / (sizes[i] + sizes[j] - both) >= similarity:
-                    found.append((i, j))
-                    part[part == part[j]] = part[i]
+                found.append((i, j))
+                part[part == part[j]] = part[i]
         held[mine] = False
     return found
 
@@ -145,7 +167,7 @@ def _rest(met: DataFrame, label: DataFrame, texts: DataFrame, similarity: float)
         a, b, begin = [], [], 0
         for end in ends.tolist() if len(place) else []:
             if end - begin > 1 and (part[begin: end] != part[begin]).any():
-                lines = [sets(x) for x in table["line"].slice(begin, end - begin).to_pylist()]
+                lines = sets(table["line"].slice(begin, end - begin).to_pylist())
                 for i, j in _joined(lines, part[begin: end], side[begin: end], similarity):
                     a.append(key[begin + i])
                     b.append(key[begin + j])
@@ -163,7 +185,12 @@ def _lines(rows: DataFrame, least: int) -> DataFrame:
 
 #: Lines are known by a 64-bit hash of their folded text: at 10^12 lines, a line meets another's by chance once in 10^7.
 def _keyed(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("key", F.xxhash64(F.translate("line", ascii_uppercase, ascii_lowercase)))
+    """Lines with their key. Folding only A-Z is a slow look-up by character, so letters beyond ASCII are read byte by byte, as Latin-1.
+
+    Lower-casing moves the bytes C0-DE, too, by 32: the first bytes of two-byte characters onto those of longer ones. How many bytes above
+    7F follow still tells them apart, so lines fold alike exactly if only the case of A-Z differs.
+    """
+    return lines.withColumn("key", F.xxhash64(F.lower(F.decode(F.col("line").cast("binary"), "ISO-8859-1"))))
 
 
 def line_classes(docs: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -209,8 +236,12 @@ def line_classes(docs: DataFrame, similarity: float = SIMILARITY, least: int = L
     def verify(batches):
         sets = _Shingles()
         for batch in batches:
-            near = [_jaccard(sets(x), sets(y)) >= similarity for x, y in zip(batch["line_a"].to_pylist(), batch["line_b"].to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            ends = np.cumsum(pc.add(pc.binary_length(batch["line_a"]), pc.binary_length(batch["line_b"])).to_numpy(), dtype=np.int64)
+            for x, y in spans(np.concatenate(([0], ends))):
+                part = batch.slice(x, y - x)
+                cut = sets(part["line_a"].to_pylist() + part["line_b"].to_pylist())
+                near = [_near(u, v, similarity) for u, v in zip(cut[: y - x], cut[y - x:])]
+                yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     a, b = (texts.select(F.col("key").alias(c), F.col("line").alias(f"line_{c}")) for c in "ab")
     label = components(pairs.join(a, "a").join(b, "b").select("a", "b", "line_a", "line_b").mapInArrow(

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskspark.llm import jaccard as J, linededup as L
@@ -175,6 +176,22 @@ def test_line_dedup_edges(spark):
     assert got == sorted([(None, line), (4, line), (4, line), (5, "x")], key=str)
 
 
+def test_lines_fold_only_ascii_and_are_cut_together(spark):
+    """Keys agree exactly where A-Z folded lines do, whatever the bytes; the sets of many lines are made at once."""
+    import re
+    chars = [chr(c) for c in [*range(0x20, 0x180), 0x3a3, 0x3c2, 0x3c3, 0x410, 0x430, 0x3000, 0x3040, 0xd7ff, 0xe000, 0xffff, 0x10000, 0x1f600, 0x10ffff]]
+    lines = [x + y for x in chars[::7] for y in ("", "A", "a", "É", "é", "\u3000")] + chars
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    keys = {r["i"]: r["key"] for r in L._keyed(frame).collect()}
+    folded = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in lines]
+    assert len(set(keys.values())) == len(set(folded)) == len(set(zip(folded, (keys[i] for i in range(len(lines))))))
+    texts = ["one two THREE four", "", "short", "ÄÖÜ and some more ÄÖÜ and some more", "one two three four"]
+    together = L._Shingles()(texts)
+    for x, got in zip(texts, together):
+        b = re.sub(rb"[A-Z]", lambda m: m[0].lower(), x.encode())
+        assert got.tolist() == sorted({int.from_bytes(b[i: i + 8], "big") for i in range(len(b) - 7)})
+
+
 def test_short_lines_are_deduplicated(spark):
     rows = [(1, "ok\n\nAll rights reserved.\n \nno"), (2, "OK\n\nall rights reserved.\n \nyes"), (3, "ok\nAll rights reserved\n\r\n\r\né")]
     docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DOCS)
