@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from riskspark.llm.common import only, staged, text_rows, without
+from riskspark.llm.common import BATCH_BYTES, only, staged, text_rows, without
 from riskspark.llm.graph import components
 from riskspark.llm.words import NOT_SPACE, mix, runs, shingle_sets
 
@@ -299,7 +299,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     doc_id takes part in nothing and has a null component; rows that share a doc_id are one document.
     """
     rows = text_rows(docs)
-    sets = staged(_sets(rows), "sets")
+    sets = staged(_sets(rows), "sets", BATCH_BYTES)
     some = sets.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("k1", "k2").agg(F.min("doc_id").alias("id"))
     reps = staged(some.join(classes, ["k1", "k2"]).where("doc_id = id").groupBy("id", "k1", "k2").agg(
@@ -311,11 +311,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # 1: everyone at a meeting place against its smallest id; each document tries its smallest partner
     place = Window.partitionBy("key")
     met = staged(_range_rows(own).select("key", "id", F.min("id").over(place).alias("low"), F.max("id").over(place).alias("high"))
-                 .where("low < high").select("key", "id", "low"), "met")
+                 .where("low < high").select("key", "id", "low"), "met", BATCH_BYTES)
     star = met.where("low < id").groupBy(F.col("id").alias("a")).agg(F.min("low").alias("b"))
     needed = met.select(F.col("id").alias("doc_id")).distinct()
     texts = staged(only(own, needed, "doc_id"), "texts")
-    first = staged(_linked(star, texts), "links-1")
+    first = staged(_linked(star, texts), "links-1", BATCH_BYTES)
     label = components(first).select(F.col("node").alias("id"), "component")
 
     # 2: what still meets across components, through the R-trees: at one place in sixteen first, where
@@ -325,7 +325,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         named = met.where(places).join(label, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         crossing = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 < c2")
         rest = staged(_meetings(named.join(crossing.select("key"), "key"), vectors), "rest")
-        links = staged(links.unionByName(_linked(rest, texts)), "links")
+        links = staged(links.unionByName(_linked(rest, texts)), "links", BATCH_BYTES)
         label = components(links).select(F.col("node").alias("id"), "component")
     final = label.withColumnRenamed("id", "node")
 

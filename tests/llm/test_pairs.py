@@ -97,6 +97,21 @@ def test_rtree_keeps_every_pair_the_bound_allows():
     assert {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())} == want
 
 
+def test_staged_texts_come_in_small_batches(spark):
+    """A write may bound the bytes of its Arrow batches; the session's own limit stays."""
+    from riskspark.llm.common import staged
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["bytes"])
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id", "repeat(cast(id as string), 500) AS text")
+    most = [staged(docs.mapInArrow(sizes, "bytes long"), "sizes", b).agg({"bytes": "max"}).first()[0] for b in (None, 1 << 18)]
+    assert most[0] > 2_000_000 and most[1] < 400_000 and spark.conf.get(name) == before
+
+
 def test_jaccard_edges(spark):
     empty = J.jaccard_components(spark.createDataFrame([], DOCS))
     assert empty.collect() == [] and empty.columns == ["doc_id", "n_shingles", "component_id"]
