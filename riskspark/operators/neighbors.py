@@ -333,3 +333,54 @@ def cluster_distance_sums(df: DataFrame, features: Sequence[str], key: str, labe
     out = (left.groupBy("a", "b").cogroup(right.groupBy("a", "b"))
            .applyInPandas(sums, f"id {kinds['id']}, label {kinds['label']}, cluster {kinds['label']}, total double"))
     return out.groupBy("id", "label", "cluster").agg(F.sum("total").alias("total"))
+
+
+def labelled_distance_sums(df: DataFrame, features: Sequence[str], key: str, labels: str, sizes: Sequence[int], *,
+                           block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """As ``cluster_distance_sums`` for several labelings, all from the same distances: id, labels, and totals ``t0 ...``.
+
+    ``labels`` is an array with a row's cluster (0 to ``sizes[j]`` - 1) in labeling j; the totals list the clusters of the first labeling, then
+    those of the next ones. Rows of one key and equal labels are added up.
+    """
+    rows = df.select(ident(key).alias("id"), ident(labels).cast("array<int>").alias("labels"), _vector(features).alias("v"))
+    parts = max(1, math.ceil(rows.count() / (WIDE_ROWS * block_rows)))
+    side = rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    left = side.withColumnRenamed("_part", "a").withColumn("b", F.explode(F.sequence(F.col("a"), F.lit(parts - 1))))
+    right = side.withColumnRenamed("_part", "b").withColumn("a", F.explode(F.sequence(F.lit(0), F.col("b"))))
+    first, width = np.cumsum([0, *sizes[:-1]]), int(sum(sizes))
+    names = [f"t{i}" for i in range(width)]
+
+    def members(x: pd.DataFrame) -> np.ndarray:
+        out = np.zeros((len(x), width))
+        np.put_along_axis(out, np.stack(x["labels"].to_numpy()).astype(int) + first, 1.0, 1)
+        return out
+
+    def added(d: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Sums of the columns of ``d`` by cluster; distances that are no numbers stay within theirs."""
+        if np.isfinite(d.sum()):
+            return d @ of
+        return np.stack([d[:, c > 0].sum(1) for c in of.T], 1)
+
+    def listed(x: pd.DataFrame, total: np.ndarray) -> pd.DataFrame:
+        return pd.concat([x[["id", "labels"]].reset_index(drop=True), pd.DataFrame(total, columns=names)], axis=1)
+
+    def sums(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
+            return listed(x[:0], np.zeros((0, width)))
+        vx, vy, of_x, of_y = _stacked(x["v"]), _stacked(y["v"]), members(x), members(y)
+        to_y, to_x = np.zeros((len(x), width)), np.zeros((len(y), width))
+        for at, gap, error in rough_distances(vx, vy):
+            # little differences of large numbers are added up again
+            r, c = np.nonzero(~(gap > 1e4 * error[:, None]))
+            with np.errstate(all="ignore"):
+                gap[r, c] = paired_distances(vx[at + r], vy[c])
+                d = np.sqrt(gap, out=gap)
+                to_y[at: at + len(d)] = added(d, of_y)
+                if key[0] != key[1]:
+                    to_x += added(d.T, of_x[at: at + len(d)])
+        out = listed(x, to_y)
+        return out if key[0] == key[1] else pd.concat([out, listed(y, to_x)])
+
+    out = (left.groupBy("a", "b").cogroup(right.groupBy("a", "b"))
+           .applyInPandas(sums, f"id {side.schema['id'].dataType.simpleString()}, labels array<int>, " + ", ".join(f"{c} double" for c in names)))
+    return out.groupBy("id", "labels").agg(*[F.sum(c).alias(c) for c in names])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.ml.clustering import GaussianMixture
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskspark.operators import clustering as C
@@ -29,7 +30,7 @@ def test_mixtures_are_those_of_mllib(points, weight):
     settings = [(2, 1), (3, 2)]
     columns = {"weightCol": weight} if weight else {}
     starts = C.mixture_starts(vec, settings, 2, **columns)
-    found = C.expectation_maximization(C.point_blocks(vec, "features", weight), starts, steps=15)
+    found = C.expectation_maximization(C.point_blocks(vec, vector_to_array("features"), weight), starts, steps=15)
     for (k, seed), m in zip(settings, found):
         own = GaussianMixture(k=k, seed=seed, maxIter=15, **columns).fit(vec)
         at = own.gaussiansDF.collect()
@@ -53,7 +54,7 @@ def test_mixture_labels_are_those_of_mllib(points, weight):
 def test_singular_mixture_is_that_of_mllib(spark):
     rows = spark.createDataFrame([(float(i % 5), 2.0 * (i % 5)) for i in range(60)], "x double, y double")
     vec = C.assemble(rows, XY)
-    found, = C.expectation_maximization(C.point_blocks(vec, "features"), C.mixture_starts(vec, [(2, 3)], 1), steps=10)
+    found, = C.expectation_maximization(C.point_blocks(vec, vector_to_array("features")), C.mixture_starts(vec, [(2, 3)], 1), steps=10)
     own = GaussianMixture(k=2, seed=3, maxIter=10).fit(vec)
     assert found.log_likelihood == pytest.approx(own.summary.logLikelihood, rel=1e-6)
     np.testing.assert_allclose(found.weights, own.weights, rtol=1e-6)
